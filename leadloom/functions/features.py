@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
-from leadloom.functions.text import SPACE_SET, _col, has_value, strip
+from leadloom.functions.text import SPACE_SET, _col, has_value, once, strip
 
 _NUMBER = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
 
@@ -25,7 +25,7 @@ def rating_score(c):
     text = strip(F.replace(_col(c), F.lit(","), F.lit(".")))
     digits = F.replace(F.regexp_extract(text, _NUMBER, 0), F.lit("_"), F.lit(""))
     number = digits.try_cast("double") / F.lit(V.RATING_SCALE)
-    return F.coalesce(F.when(F.abs(number) < F.lit(float("inf")), number), F.lit(0.0))
+    return F.coalesce(once(number, lambda n: F.when(F.abs(n) < F.lit(float("inf")), n)), F.lit(0.0))
 
 
 def source_score(c):
@@ -64,11 +64,15 @@ def category_score(name, category):
     """
     text = F.lower(F.concat(_shown(name), F.lit(" "), _shown(category)))
 
-    def hits(words):
+    def hits(text, words):
         return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
 
-    position = hits(V.HIGH_VALUE_KEYWORDS) * (len(V.LOW_VALUE_KEYWORDS) + 1) + hits(V.LOW_VALUE_KEYWORDS)
-    return F.get(F.array(*[F.lit(x) for x in _category_levels()]), position)
+    def position(text):
+        return hits(text, V.HIGH_VALUE_KEYWORDS) * (len(V.LOW_VALUE_KEYWORDS) + 1) + hits(
+            text, V.LOW_VALUE_KEYWORDS
+        )
+
+    return F.get(F.array(*[F.lit(x) for x in _category_levels()]), once(text, position))
 
 
 def address_completeness(c):

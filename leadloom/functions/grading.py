@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
-from leadloom.functions.text import _col
+from leadloom.functions.text import _col, once
 
 
 def round1(score):
@@ -17,11 +17,14 @@ def score_from_probability(p):
 
 def grade(score):
     """Letter grade of a score already rounded to one place."""
-    result = None
-    for letter, floor in V.GRADE_FLOORS.items():
-        step = _col(score) >= floor
-        result = F.when(step, letter) if result is None else result.when(step, letter)
-    return result.otherwise(V.LOWEST_GRADE)
+
+    def letter(s):
+        result = F.when(s >= V.GRADE_FLOORS["A"], "A")
+        for name in ("B", "C"):
+            result = result.when(s >= V.GRADE_FLOORS[name], name)
+        return result.otherwise(V.LOWEST_GRADE)
+
+    return once(score, letter)
 
 
 def recommend(score):

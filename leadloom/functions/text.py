@@ -25,6 +25,15 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c, use):
+    """``use`` applied to a column that is evaluated a single time, however often it occurs.
+
+    Used where the column is costly, or where repeating it would make generated methods
+    too large to be compiled or filters pushed through it too large to plan.
+    """
+    return F.get(F.transform(F.array(_col(c)), use), F.lit(0))
+
+
 def strip(c):
     """Remove white space at both ends."""
     return F.btrim(_col(c), F.lit(SPACES))

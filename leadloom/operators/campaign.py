@@ -6,6 +6,7 @@ from leadloom import fixed_values as V
 from leadloom.functions.grading import min_grade_rank
 from leadloom.functions.text import log_time, parse_message, present, template
 from leadloom.operators.leads import first_per, with_email
+from leadloom.operators.ranking import nth_smallest
 from leadloom.schemas import SENT_LOG
 from leadloom.sources.readers import read_responses
 
@@ -58,22 +59,22 @@ def select_campaign(eligible, log, limit=V.DAILY_LIMIT, outcome=None):
     handled but does not use up the limit. Without it every fresh lead succeeds.
 
     Only the place of the last success is needed, so no total order is computed: rows
-    before it that were not handled are the skipped ones.
+    before it that were not handled are the skipped ones. ``eligible`` is read up to three
+    times; keep it in a table or persist it if it is costly to compute.
     """
     if limit <= 0:
         return eligible.withColumn("disposition", F.lit("beyond_limit"))
-    place = F.struct((-F.col("ml_score")).alias("s"), F.col("lead_seq").alias("q"))
-    keep = ["lead_seq", "ml_score", *([outcome] if outcome else []), "email"]
+    keep = ["lead_seq", "ml_score", "email", *([outcome] if outcome else [])]
     fresh = fresh_leads(eligible.select(*keep), log)
     done = fresh.where(F.col(outcome) != "failed") if outcome else fresh
-    chosen = done.orderBy(F.desc("ml_score"), "lead_seq").limit(limit)
-    cut = chosen.agg(F.when(F.count("*") == limit, F.max(place)).alias("cut")).scalar()
-    if outcome:
-        handled = fresh
+    if limit <= SMALL_LIMIT:
+        chosen = done.orderBy(F.desc("ml_score"), "lead_seq").limit(limit)
+        cut = chosen.agg(F.when(F.count("*") == limit, F.max(_place())).alias("cut")).scalar()
     else:
-        handled = F.broadcast(chosen) if limit <= SMALL_LIMIT else chosen
+        cut = _far_cut(done, limit)
+    handled = F.broadcast(chosen) if limit <= SMALL_LIMIT and not outcome else fresh
     handled = handled.select("lead_seq", F.lit(True).alias("_fresh"))
-    inside = F.coalesce(place <= cut, F.lit(True))
+    beyond = F.coalesce(_place() > cut, F.lit(False))
     result = F.lit("selected")
     if outcome:
         result = F.when(F.col(outcome) == "failed", "failed").otherwise(result)
@@ -81,12 +82,35 @@ def select_campaign(eligible, log, limit=V.DAILY_LIMIT, outcome=None):
         eligible.join(handled, "lead_seq", "left")
         .withColumn(
             "disposition",
-            F.when(~inside, "beyond_limit").when(F.col("_fresh"), result).otherwise("skipped"),
+            F.when(beyond, "beyond_limit").when(F.col("_fresh"), result).otherwise("skipped"),
         )
         .select(*eligible.columns, "disposition")
     )
 
 
+def _place():
+    """Order of a walk, best first."""
+    return F.struct((-F.col("ml_score")).alias("s"), F.col("lead_seq").alias("q"))
+
+
+def _far_cut(done, limit):
+    """Place of the ``limit``-th lead without sorting, for limits too large for a top list.
+
+    Scores have one decimal place, so tenths order them exactly.
+    """
+    tenths = (-F.rint(F.col("ml_score") * 10)).cast("bigint")
+    places = done.select("lead_seq", tenths.alias("tenths")).persist()
+    try:
+        last = nth_smallest(places, "tenths", limit)
+        if last is None:
+            return F.lit(None).cast("struct<s:double,q:bigint>")
+        better = places.where(F.col("tenths") < last).count()
+        seq = nth_smallest(places.where(F.col("tenths") == last), "lead_seq", limit - better)
+        return F.struct(F.lit(last / 10.0).alias("s"), F.lit(seq).cast("bigint").alias("q"))
+    finally:
+        places.unpersist()
+
+
 def campaign_tally(dispositions):
     """Sent, skipped and failed leads of a run; those after the limit are not counted."""
     return dispositions.agg(

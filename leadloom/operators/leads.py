@@ -9,7 +9,7 @@ from leadloom import fixed_values as V
 from leadloom.functions.pickers import (
     first_hit, first_raw, pick_address, pick_category, pick_phone, pick_rating, pick_website,
 )
-from leadloom.functions.text import clean, present, website_domain
+from leadloom.functions.text import clean, once, present, website_domain
 from leadloom.schemas import LEAD_TEXT
 
 # Order key of a card: site, then page, then place on the page.
@@ -50,7 +50,7 @@ def to_leads(cards, site, query):
 
 def clean_leads(df):
     """Every text column cleaned; other columns as they are."""
-    return df.select(*[clean(c).alias(c) if c in LEAD_TEXT else F.col(c) for c in df.columns])
+    return df.select(*[once(c, clean).alias(c) if c in LEAD_TEXT else F.col(c) for c in df.columns])
 
 
 def require_name(df):

@@ -68,19 +68,22 @@ def campaign_run(scored, log_path, responses, settings, at=None, batch_id=None,
     ``status`` is the text logged for every chosen lead, or the name of a column holding
     the outcome of each; failed leads are logged but leave the limit untouched.
     """
-    eligible = eligible_leads(scored, settings.lowest_grade)
-    if not nonempty(eligible):
-        return None
-    by_column = status in scored.columns
-    log = read_log(scored.sparkSession, log_path, skip_batch=batch_id)
-    runs = select_campaign(eligible, log, settings.daily_limit, status if by_column else None)
-    # The dispositions depend on the log as it was, so they are fixed before it grows.
-    shared_dir(scored.sparkSession)
-    runs = runs.checkpoint()
+    spark = scored.sparkSession
+    shared_dir(spark)
+    eligible = eligible_leads(scored, settings.lowest_grade).persist()
+    try:
+        if not nonempty(eligible):
+            return None
+        by_column = status in scored.columns
+        log = read_log(spark, log_path, skip_batch=batch_id)
+        # The dispositions depend on the log as it was, so they are fixed before it grows.
+        runs = select_campaign(eligible, log, settings.daily_limit, status if by_column else None).checkpoint()
+    finally:
+        eligible.unpersist()
     handled = runs.where(F.col("disposition").isin("selected", "failed"))
     messages = attach_messages(handled, responses, settings.sender)
-    entries = log_entries(messages, F.current_timestamp() if at is None else at, F.col(status) if by_column else status)
-    append_log(entries, log_path, batch_id)
+    at = F.current_timestamp() if at is None else at
+    append_log(log_entries(messages, at, F.col(status) if by_column else status), log_path, batch_id)
     return runs
 
 
