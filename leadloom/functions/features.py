@@ -43,36 +43,27 @@ def name_word_count(c):
     return F.least(words, F.lit(V.NAME_WORD_LIMIT)) / F.lit(float(V.NAME_WORD_LIMIT))
 
 
-def _category_levels():
-    """Score after h high and l low hits, flattened to position h * (lows + 1) + l."""
-    levels = []
-    high = V.CATEGORY_START
-    for _ in range(len(V.HIGH_VALUE_KEYWORDS) + 1):
-        low = high
-        for _ in range(len(V.LOW_VALUE_KEYWORDS) + 1):
-            levels.append(low)
-            low = max(0.0, low - V.CATEGORY_LOW_STEP)
-        high = min(1.0, high + V.CATEGORY_HIGH_STEP)
-    return levels
-
-
 def category_score(name, category):
-    """Keyword relevance of name and category.
-
-    Steps up are applied before steps down and each kind has one size, so the score
-    depends only on the two hit counts; it is looked up in a table built by stepping.
-    """
+    """Keyword relevance: a step up per high-value word in the text, then a step down per
+    low-value word, kept within 0 and 1 at every step."""
     text = F.lower(F.concat(_shown(name), F.lit(" "), _shown(category)))
 
-    def hits(text, words):
-        return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
+    def found(text, words):
+        return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
 
-    def position(text):
-        return hits(text, V.HIGH_VALUE_KEYWORDS) * (len(V.LOW_VALUE_KEYWORDS) + 1) + hits(
-            text, V.LOW_VALUE_KEYWORDS
+    def score(text):
+        raised = F.aggregate(
+            found(text, V.HIGH_VALUE_KEYWORDS),
+            F.lit(V.CATEGORY_START),
+            lambda s, _: F.least(F.lit(1.0), s + V.CATEGORY_HIGH_STEP),
+        )
+        return F.aggregate(
+            found(text, V.LOW_VALUE_KEYWORDS),
+            raised,
+            lambda s, _: F.greatest(F.lit(0.0), s - V.CATEGORY_LOW_STEP),
         )
 
-    return F.get(F.array(*[F.lit(x) for x in _category_levels()]), once(text, position))
+    return once(text, score)
 
 
 def address_completeness(c):
