@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 
 # Slices counted per pass, and the slice size that is simply read out.
 _FAN = 1 << 16
-_READ_OUT = 10_000
+_READ_OUT = 100_000
 
 
 def nth_smallest(df, column, n):
     """Exact n-th smallest value of a BIGINT column, or None if there are fewer than n.
 
+    ``n`` is a number, or a function giving it for the number of values.
+
     Each pass counts equal slices of the remaining value range, so only a bounded number
     of counts reaches the driver and no row is moved; a slice with few rows is read out.
     """
     total, low, high = df.agg(F.count(column), F.min(column), F.max(column)).first()
+    n = n(total) if callable(n) else n
     if n < 1 or total < n:
         return None
     left, rows = n, total
@@ -47,20 +50,20 @@ def with_rank(scored, score="ml_score", levels=512, blocks=64):
     Rows are cut into a bounded number of ordered buckets: by score quantiles, where each
     quantile value has a bucket to itself, and inside those by quantiles of ``lead_seq``,
     so that even one score shared by most rows is spread. Positions are counted inside
-    the buckets and shifted by the sizes of the better ones.
+    the buckets and shifted by the sizes of the better ones. ``scored`` is read three
+    times; keep it in a table if it is costly to compute.
     """
     keyed = scored.withColumns(
         {"_score": F.col(score).cast("double"), "_seq": F.col("lead_seq").cast("double")}
     )
 
-    def quantiles(column, parts):
-        found = keyed.approxQuantile(column, [i / parts for i in range(1, parts)], 0.25 / parts)
-        return sorted(set(found))
-
-    exact, inf = quantiles("_score", levels), math.inf
-    edges = sorted({e for s in exact for e in (s, math.nextafter(s, inf))})
+    shares = [i / levels for i in range(1, levels)]
+    scores, seqs = keyed.approxQuantile(["_score", "_seq"], shares, 0.25 / levels)
+    exact, inf = sorted(set(scores)), math.inf
+    edges = sorted({e for s in exact for e in (s, math.nextafter(s, inf))}) or [0.0]
+    cuts = sorted(set(seqs[:: max(1, levels // blocks)])) or [0.0]
     bucketed = Bucketizer(
-        splitsArray=[[-inf, *(edges or [0.0]), inf], [-inf, *(quantiles("_seq", blocks) or [0.0]), inf]],
+        splitsArray=[[-inf, *edges, inf], [-inf, *cuts, inf]],
         inputCols=["_score", "_seq"],
         outputCols=["_level", "_block"],
     ).transform(keyed)

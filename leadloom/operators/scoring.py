@@ -79,11 +79,11 @@ def split(df, share=V.HOLDOUT_SHARE, seed=V.SEED):
         "lead_seq", text.alias("text"),
         F.conv(F.substring(text, 1, 15), 16, 10).cast("bigint").alias("key"),
     )
-    size = math.ceil(share * df.count())
-    cut = nth_smallest(keys, "key", size)
+    cut = nth_smallest(keys, "key", lambda total: math.ceil(share * total))
     if cut is None:
         return df, df.where(F.lit(False))
-    smaller, = keys.agg(F.count_if(F.col("key") < cut)).first()
+    smaller, total = keys.agg(F.count_if(F.col("key") < cut), F.count("*")).first()
+    size = math.ceil(share * total)
     tied = keys.where(F.col("key") == cut).orderBy("text", "lead_seq").limit(size - smaller)
     last = tied.agg(F.max(F.struct("text", "lead_seq")).alias("last")).first()["last"]
     edge = F.struct(F.lit(last["text"]), F.lit(last["lead_seq"]).cast("bigint"))
@@ -130,16 +130,17 @@ def fit(labelled, trees=V.TREES):
 
 
 def train(df, trees=V.TREES):
-    """Fit on rule labels; with twenty rows or more, on 80 % and report on the rest."""
-    labelled = generate_labels(extract_features(df)).persist()
-    try:
-        rows, test = labelled, None
-        if labelled.count() >= V.HOLDOUT_FROM_ROWS:
-            rows, test = split(labelled)
-        model, single_class = fit(rows, trees)
-        return Trained(model, evaluate(model, test) if test is not None else None, single_class)
-    finally:
-        labelled.unpersist()
+    """Fit on rule labels; with twenty rows or more, on 80 % and report on the rest.
+
+    ``df`` is read several times, but all passes except the fit read ``lead_seq`` alone;
+    keep it in a table.
+    """
+    rows, test = df, None
+    if df.count() >= V.HOLDOUT_FROM_ROWS:
+        rows, test = split(df)
+    model, single_class = fit(generate_labels(extract_features(rows)), trees)
+    report = None if test is None else evaluate(model, generate_labels(extract_features(test)))
+    return Trained(model, report, single_class)
 
 
 def evaluate(model, labelled):

@@ -9,6 +9,7 @@ from leadloom.operators.campaign import attach_messages, eligible_leads, log_ent
 from leadloom.operators.collect import collect
 from leadloom.operators.contacts import enrich
 from leadloom.operators.leads import clean_leads, require_name, to_leads, union_sources
+from leadloom.operators.ranking import rank_leads
 from leadloom.operators.scoring import save_model, score, train
 from leadloom.operators.sinks import append_log, nonempty, write_leads, write_scored
 from leadloom.session import shared_dir
@@ -52,13 +53,18 @@ def collect_and_export(pages_by_source, settings, path, payloads=None):
 
 
 def score_run(leads, settings, model_path=None, scored_path=None):
-    """Train on the leads, keep the model, score them and write the result."""
+    """Train on the leads, keep the model, score them and write the result best first.
+
+    Scores are written out once: sorting, export and outreach all read them, and the
+    model is the costly part.
+    """
+    shared_dir(leads.sparkSession)
     trained = train(leads, settings.trees)
     if model_path:
         save_model(trained.model, model_path)
-    scored = score(leads, trained.model)
+    scored = score(leads, trained.model, ordered=False).checkpoint()
     if scored_path:
-        write_scored(scored, scored_path)
+        write_scored(rank_leads(scored), scored_path)
     return scored, trained
 
 

@@ -183,8 +183,9 @@ def test_full_run(spark, small, tmp_path):
     none = spark.createDataFrame([], "lead_seq bigint, response string")
     runs = RU.full_run(pages, payloads, none, settings, str(tmp_path))
     assert {r.disposition for r in runs.collect()} >= {"selected"}
-    assert RD.read_log(spark, str(tmp_path / "log")).count() == 5
     scored = spark.read.csv(str(tmp_path / "scored"), header=True)
+    emails = scored.where("email <> 'N/A'").select("email").distinct().count()
+    assert 0 < RD.read_log(spark, str(tmp_path / "log")).count() == min(5, emails)
     counts = {r.source: r["count"] for r in scored.groupBy("source").count().collect()}
     assert counts == {"google_maps": 10, "justdial": 10, "indiamart": 10}
     assert RU.full_run({"justdial": pages["justdial"].limit(0)}, None, none, settings, str(tmp_path / "none")) is None
