@@ -477,11 +477,10 @@ def _(spark, sf):
 
 @query(
     "J06_attach_messages",
-    S.with_views("leads", "responses", f"SELECT lead_seq, {_PARSED} FROM leads LEFT JOIN (SELECT * FROM responses WHERE lead_seq % 2 = 0) USING (lead_seq)"),
+    S.with_views("leads", "some_responses", f"SELECT lead_seq, {_PARSED} FROM leads LEFT JOIN some_responses USING (lead_seq)"),
 )
 def _(spark, sf):
-    some = D.spark_responses(spark, sf).where("lead_seq % 2 = 0")
-    return CA.attach_messages(leads(spark, sf), some, SENDER).select("lead_seq", "subject", "body")
+    return CA.attach_messages(leads(spark, sf), D.spark_some_responses(spark, sf), SENDER).select("lead_seq", "subject", "body")
 
 
 # --- counts ------------------------------------------------------------------------
@@ -669,7 +668,7 @@ _ENTRIES = f"""SELECT '2026-01-02 03:04:05' AS timestamp, email AS to_email, bus
 
 def _entries(spark, sf):
     chosen = CA.select_campaign(eligible(spark, sf), log(spark, sf), LIMIT).where("disposition = 'selected'")
-    nothing = D.spark_responses(spark, sf).where("lead_seq < 0")
+    nothing = D.spark_responses(spark, sf).limit(0)
     at = F.lit("2026-01-02 03:04:05").cast("timestamp")
     return CA.log_entries(CA.attach_messages(chosen, nothing, SENDER), at, "dry_run")
 
@@ -777,7 +776,7 @@ def _(spark, sf):
 @query("K04_empty_writes_nothing", S.with_views("raw_leads", "SELECT false AS empty_written, true AS full_written, count(*) AS leads FROM raw_leads"))
 def _(spark, sf):
     df = raw(spark, sf)
-    empty = SI.write_scored(df.where("lead_seq < 0"), scratch_path(spark, "none"))
+    empty = SI.write_scored(df.limit(0), scratch_path(spark, "none"))
     full = SI.write_scored(df, scratch_path(spark, "some"))
     return df.agg(F.lit(empty).alias("empty_written"), F.lit(full).alias("full_written"), F.count("*").alias("leads"))
 

@@ -38,10 +38,9 @@ PAYLOADS = {
 }
 SENT_LOG = {
     "sent_at": "cast(o_orderdate as timestamp)",
-    "to_email": "concat('info@site', cast(o_custkey % 60 as string), '.example.com')",
+    "to_email": "concat(CASE WHEN o_custkey % 60 < 20 THEN 'info' ELSE 'sales' END, '@site', cast(o_custkey % 60 as string), '.example.com')",
     "status": "CASE o_orderstatus WHEN 'F' THEN 'sent' WHEN 'O' THEN 'dry_run' ELSE 'failed' END",
 }
-LOG_ROWS = "o_custkey % 60 < 20"
 FEEDBACK = {"lead_seq": "doc_id", "label": "quality"}
 RESPONSES = {
     "lead_seq": "c_custkey",
@@ -49,6 +48,8 @@ RESPONSES = {
     "WHEN 1 THEN '{\"body\":\"only body\"}' WHEN 2 THEN 'not json' WHEN 3 THEN '[1,2]' WHEN 4 THEN '{\"subject\":\"a\"} trailing' "
     "WHEN 5 THEN '  {\"subject\": null, \"body\": \"x\"} ' ELSE '{}' END",
 }
+# Suppliers answer for the leads that share their number, so most leads have no response.
+SOME_RESPONSES = {"lead_seq": "s_suppkey", "response": RESPONSES["response"].replace("c_custkey", "s_suppkey")}
 # Up to four candidates per field, NULL where a selector found nothing.
 CARD_CANDIDATES = {
     "names": ["CASE WHEN c_custkey % 4 = 1 THEN '' WHEN c_custkey % 4 = 2 THEN concat(' ', c_name, ' ') END", "CASE WHEN c_custkey % 3 = 0 THEN concat('Shop ', c_mktsegment) END"],
@@ -68,9 +69,10 @@ CTE = {
     "raw_leads": _select(RAW_LEADS, "FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "contacts": _select(CONTACTS, f"FROM supplier WHERE NOT ({NO_CONTACT})")
     + " UNION ALL SELECT " + CONTACTS["domain"] + f", s_suppkey, 'z@z.example.com', 10 FROM supplier WHERE NOT ({NO_CONTACT})",
-    "sent_log": _select(SENT_LOG, f"FROM orders WHERE {LOG_ROWS}"),
+    "sent_log": _select(SENT_LOG, "FROM orders"),
     "feedback": _select(FEEDBACK, "FROM labels"),
     "responses": _select(RESPONSES, "FROM customer"),
+    "some_responses": _select(SOME_RESPONSES, "FROM supplier"),
 }
 
 
@@ -92,7 +94,7 @@ def spark_payloads(spark, sf_dir):
 
 
 def spark_sent_log(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where(LOG_ROWS).selectExpr(*_exprs(SENT_LOG))
+    return table(spark, sf_dir, "orders").selectExpr(*_exprs(SENT_LOG))
 
 
 def spark_feedback(spark, sf_dir):
@@ -103,6 +105,10 @@ def spark_responses(spark, sf_dir):
     return table(spark, sf_dir, "customer").selectExpr(*_exprs(RESPONSES))
 
 
+def spark_some_responses(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").selectExpr(*_exprs(SOME_RESPONSES))
+
+
 def spark_raw_cards(spark, sf_dir):
     arrays = [f"array_compact(array({', '.join(es)})) AS {n}" for n, es in CARD_CANDIDATES.items()]
     return table(spark, sf_dir, "customer").selectExpr("c_custkey AS page_id", "0 AS card_pos", "c_mktsegment AS query", *arrays)
