@@ -298,7 +298,7 @@ def _(spark, sf):
 
 def _cards(spark, sf, site):
     html = D.LISTING_HTML if site is V.LISTING_SITE else D.SUPPLIER_HTML
-    return CD.extract_cards(D.spark_card_pages(spark, sf, html), site)
+    return CD.extract_cards(D.spark_card_pages(spark, sf, html), site, spark.sparkContext.defaultParallelism)
 
 
 @query("E01_extract_cards", f"SELECT page_id, card_pos FROM ({D.LISTING_CARDS})")

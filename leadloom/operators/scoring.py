@@ -211,7 +211,8 @@ def score(df, model=None, trees=V.TREES, ordered=True):
     Without a model one is trained on the same leads. ``ordered=False`` leaves out the
     total sort where the next step does not need it.
     """
-    model = model or train(df, trees).model
+    if model is None:
+        model = train(df, trees).model
     scored = (
         predict_proba(model, df)
         .withColumn("ml_score", score_from_probability("probability_good"))

@@ -17,7 +17,7 @@ class Page(HTMLParser):
     def __init__(self, html):
         super().__init__(convert_charrefs=True)
         self.tags, self.attrs, self.parents, self.ends, self.spans = [], [], [], [], []
-        self.texts, self._open = [], []
+        self.texts, self._open, self._hidden = [], [], 0
         self.feed(html)
         self.close()
         self._close_to(0)
@@ -34,6 +34,7 @@ class Page(HTMLParser):
         self.spans.append((len(self.texts), len(self.texts)))
         if tag not in _VOID:
             self._open.append(me)
+            self._hidden += tag in _UNSHOWN
 
     def handle_endtag(self, tag):
         for depth in range(len(self._open) - 1, -1, -1):
@@ -42,11 +43,12 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not any(self.tags[e] in _UNSHOWN for e in self._open):
+        if not self._hidden:
             self.texts.append(data)
 
     def _close_to(self, depth):
         for element in self._open[depth:]:
+            self._hidden -= self.tags[element] in _UNSHOWN
             self.ends[element] = len(self.tags)
             self.spans[element] = (self.spans[element][0], len(self.texts))
         del self._open[depth:]

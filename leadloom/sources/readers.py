@@ -13,7 +13,7 @@ def read_leads_csv(spark, path, multi_line=False):
     """Lead CSV with a header, matched by column name; absent columns read ``N/A``.
 
     Values stay text: ``N/A`` is kept and an empty field is NULL. ``lead_seq`` follows
-    file order. Set ``multi_line`` only for quoted line breaks: it reads each file whole.
+    the rows of a file; several files come in the order in which Spark reads them. Set ``multi_line`` only for quoted line breaks: it reads each file whole.
     """
     raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
     text = [F.col(c) if c in raw.columns else F.lit(V.MISSING).alias(c) for c in LEAD_TEXT]
