@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leadloom.functions.text import once
+
 # Slices counted per pass, and the slice size that is simply read out.
 _FAN = 1 << 16
 _READ_OUT = 100_000
@@ -23,20 +25,19 @@ def nth_smallest(df, column, n):
     n = n(total) if callable(n) else n
     if n < 1 or total < n:
         return None
-    left, rows = n, total
+    left, rows, inside = n, total, df
     while low < high and rows > _READ_OUT:
         width = (high - low) // _FAN + 1
         slice_of = F.expr(f"cast(({column} - ({low}L)) div {width}L as int)").alias("slice")
-        inside = df.where(F.col(column).between(low, high))
         for position, rows in sorted(inside.groupBy(slice_of).count().collect()):
             if rows >= left:
                 break
             left -= rows
         low, high = low + position * width, min(high, low + (position + 1) * width - 1)
+        inside = df.where(once(column, lambda v: v.between(low, high)))
     if low == high:
         return low
-    inside = df.where(F.col(column).between(low, high)).select(column)
-    return inside.orderBy(column).limit(left).agg(F.max(column)).first()[0]
+    return inside.select(column).orderBy(column).limit(left).agg(F.max(column)).first()[0]
 
 
 def rank_leads(scored, score="ml_score"):
