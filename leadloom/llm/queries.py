@@ -3,8 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import merge_count, prefix_bpe, quality_rules
+from leadloom.llm import decontaminate, merge_count, prefix_bpe, quality_rules, token_store
 from leadloom.llm.tables import table
+from leadloom.session import scratch_path
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-store")
+    token_store.write(table(spark, sf_dir, "documents"), folder)
+    return token_store.digests(token_store.read(spark, folder))
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +27,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule_failed")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "positional-index")
+    decontaminate.build(table(spark, sf_dir, "documents"), folder)
+    return decontaminate.contamination(decontaminate.read(spark, folder), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op4_token_store": op4_token_store,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}
