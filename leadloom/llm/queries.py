@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontaminate, merge_count, prefix_bpe, quality_rules, token_store
+from leadloom.llm import decontaminate, merge_count, prefix_bpe, quality_rules, token_store, warc
 from leadloom.llm.tables import table
 from leadloom.session import scratch_path
 
@@ -22,6 +22,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.page_records(warc.records(spark, folder))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule_failed")
@@ -37,6 +43,7 @@ QUERIES = {
     "op4_token_store": op4_token_store,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
