@@ -3,11 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontaminate, merge_count, prefix_bpe, quality_rules, token_store, warc
+from leadloom.llm import decontaminate, merge_count, prefix_bpe, quality_pu, quality_rules, token_store, toxicity, warc
 from leadloom.llm.tables import table
 from leadloom.session import scratch_path
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), folder)
@@ -18,6 +22,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_count.token_counts(table(spark, sf_dir, "documents"))
 
@@ -40,8 +48,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_token_store": op4_token_store,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
