@@ -3,11 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontaminate, merge_count, prefix_bpe, quality_pu, quality_rules, token_store, toxicity, warc
+from leadloom.llm import decontaminate, merge_count, near_dedup, prefix_bpe, quality_pu, quality_rules, token_store, toxicity, warc
 from leadloom.llm.tables import table
 from leadloom.session import scratch_path
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_toxicity": op3_toxicity,
     "op4_token_store": op4_token_store,
     "op5_bpe_round_trip": op5_bpe_round_trip,
