@@ -3,11 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontaminate, merge_count, near_dedup, prefix_bpe, quality_pu, quality_rules, token_store, toxicity, warc
+from leadloom.llm import decontaminate, lm_scoring, merge_count, near_dedup, prefix_bpe, quality_pu, quality_rules, token_store, toxicity, warc
 from leadloom.llm.tables import table
 from leadloom.session import scratch_path
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -52,6 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_model": op1_language_model,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_toxicity": op3_toxicity,
     "op4_token_store": op4_token_store,
