@@ -41,7 +41,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
-    return warc.page_records(warc.records(spark, folder))
+    return warc.page_records(spark, folder)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

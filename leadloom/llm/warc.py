@@ -84,22 +84,34 @@ def field(name):
     return F.regexp_extract("header", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
 
 
-def cuts(spark: SparkSession, folder: str) -> DataFrame:
-    """Every stretch between two version lines: file, split, place in the split, bytes, header
-    and the length of its block (NULL without one)."""
-    chunks = spark.read.option("lineSep", VERSION).text(folder)
-    header = F.substring_index("value", "\r\n\r\n", 1)
+def block(raw):
+    """The block of a record whose bytes after the version line are ``raw``."""
+    return F.expr(f"substring({raw}, octet_length(header) + {GAP + 1}, cast(length as int))")
+
+
+def chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch between two version lines, as it is read."""
+    return spark.read.option("lineSep", VERSION).text(folder).withColumn("raw", F.col("value").cast("binary"))
+
+
+def cuts(spark: SparkSession, folder: str, of) -> DataFrame:
+    """For every stretch: file, split, place in the split, bytes, their SHA-1, header, length of
+    its block (NULL without one) and ``of`` its block, if it holds all of it."""
     length = F.regexp_extract("header", r"(?im)^content-length:[ \t]*(\d{1,18})[ \t]*\r?$", 1)
-    found = chunks.select(
+    found = chunks(spark, folder).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("row"),
-        F.col("value").cast("binary").alias("raw"),
-        header.alias("header"),
+        "raw",
+        F.sha1("raw").alias("content"),
+        F.substring_index("value", "\r\n\r\n", 1).alias("header"),
+        F.octet_length("raw").cast("long").alias("size"),
     )
-    sized = found.withColumn("size", F.octet_length("raw").cast("long"))
-    named = (length != "") & (F.octet_length("header") + GAP <= F.col("size"))
-    return stored(sized.withColumn("length", F.when(named, length).cast("long")), "warc-cuts")
+    head = F.octet_length("header") + GAP
+    named = found.withColumn("length", F.when((length != "") & (head <= F.col("size")), length).cast("long"))
+    whole = F.col("size") >= head + F.col("length")
+    valued = named.withColumn("whole", whole).withColumn("value", F.when(F.col("whole"), of(block("raw"))))
+    return stored(valued.drop("raw"), "warc-cuts")
 
 
 def candidates(cut: DataFrame) -> DataFrame:
@@ -154,17 +166,17 @@ def chain(found: DataFrame) -> DataFrame:
     return stored(joined.withColumn("on_chain", F.coalesce(F.col("start") >= F.col("entry"), F.lit(False))).drop("entry"), "warc-chain")
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """``(file, start, header, payload)`` of all records under ``folder``."""
-    cut = cuts(spark, folder)
+def records(spark: SparkSession, folder: str, of=lambda payload: payload) -> DataFrame:
+    """``(file, start, header, value)`` of all records under ``folder``; the value is ``of`` the payload.
+
+    What is made of a payload is made where it is read, so that only that is moved.
+    """
+    cut = cuts(spark, folder, of)
     linked = chain(candidates(cut))
     keys = ["file", "split", "row"]
-    own = cut.join(linked.where("on_chain").select(*keys, "start", "next"), keys)
-    head = F.octet_length("header")
-    block = F.expr(f"substring(raw, octet_length(header) + {GAP + 1}, cast(length as int))").alias("payload")
-    whole = F.col("size") >= head + GAP + F.col("length")
-    single = own.where(whole).select("file", "start", "header", block)
-    split_up = own.where(~whole).select("file", "start", "next", "length", "header")
+    own = cut.join(linked.where("on_chain").select(*keys, "start"), keys)
+    single = own.where("whole").select("file", "start", "header", "value")
+    split_up = own.where(~F.col("whole")).select("file", "start", "length", "header")
     if split_up.isEmpty():
         return single
     # Each candidate belongs to the last record at or before it, perhaps in an earlier split.
@@ -175,19 +187,25 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     last = last.select("file", "split", F.max("last").over(earlier).alias("before"))
     owned = linked.withColumn("owner", F.max(mine).over(inside)).join(last, ["file", "split"])
     owned = owned.select(*keys, F.col("start").alias("at"), F.coalesce("owner", "before").alias("start"))
-    parts = owned.join(split_up.select("file", "start"), ["file", "start"]).join(cut.select(*keys, "raw"), keys)
-    pieces = parts.groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("at", "raw"))).alias("pieces"))
+    parts = stored(owned.join(split_up.select("file", "start"), ["file", "start"]).join(cut.select(*keys, "content"), keys), "warc-parts")
+    # The pieces' bytes are read again. They are found by their content, since another reading
+    # may split files elsewhere.
+    sought = stored(parts.select("content").distinct(), "warc-contents")
+    bytes_of = chunks(spark, folder).select(F.sha1("raw").alias("content"), "raw").join(sought, "content", "left_semi")
+    pieces = parts.join(bytes_of.dropDuplicates(["content"]), "content").groupBy("file", "start")
+    pieces = pieces.agg(F.sort_array(F.collect_list(F.struct("at", "raw"))).alias("pieces"))
     version = F.lit(VERSION).cast("binary")
-    text = F.aggregate(
-        F.slice("pieces", 2, F.greatest(F.size("pieces") - 1, F.lit(0))), F.get("pieces", F.lit(0))["raw"], lambda a, p: F.concat(a, version, p["raw"])
-    )
+    rest = F.slice("pieces", 2, F.greatest(F.size("pieces") - 1, F.lit(0)))
+    text = F.aggregate(rest, F.get("pieces", F.lit(0))["raw"], lambda a, p: F.concat(a, version, p["raw"]))
     joined = split_up.join(pieces, ["file", "start"]).withColumn("raw", text)
-    complete = joined.where(F.octet_length("raw") >= head + GAP + F.col("length"))
-    return single.unionAll(complete.select("file", "start", "header", block))
+    complete = joined.where(F.octet_length("raw") >= F.octet_length("header") + GAP + F.col("length"))
+    return single.unionAll(complete.select("file", "start", "header", of(block("raw")).alias("value")))
 
 
-def page_records(found: DataFrame) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of records of pages."""
+def page_records(spark: SparkSession, folder: str) -> DataFrame:
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of the records of pages."""
+    sized = lambda payload: F.struct(F.octet_length(payload).cast("long").alias("bytes"), base32_sha1(payload).alias("digest"))
+    found = records(spark, folder, sized)
     page = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?\d+)>$", 1)
     number = lambda text: F.when(text != "", text).cast("long")
     named = found.select(
@@ -196,8 +214,8 @@ def page_records(found: DataFrame) -> DataFrame:
         number(page("WARC-Refers-To")).alias("refers_to"),
         number(field("X-Payload-Length")).alias("named_bytes"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("named_digest"),
-        F.octet_length("payload").cast("long").alias("bytes"),
-        base32_sha1("payload").alias("digest"),
+        "value.bytes",
+        "value.digest",
     )
     revisit = F.col("record_type") == "revisit"
     return named.select(
