@@ -280,3 +280,24 @@ def near_duplicates(docs: DataFrame, size=5, percent=PERCENT, **blocks) -> DataF
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``."""
     groups = near_groups(docs, size, percent, **blocks)
     return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id, NULL included, is not among the stored ``dropped`` ids."""
+    gone = dropped.select(F.col("doc_id").alias("_dropped"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_dropped")), "left_anti")
+
+
+def one_of_each(docs: DataFrame, size=5, percent=PERCENT, **blocks) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the smallest id stays. Rows that
+    share an id that stays are one document; the one whose text hashes lowest is kept."""
+    found = near_duplicates(docs, size, percent, **blocks).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count_if("kept").alias("n"))
+    by_id = stored(found, "near-kept")
+    left = without_ids(docs, stored(by_id.where(~F.col("kept")).select("doc_id"), "near-dropped"))
+    repeated = by_id.where("n > 1").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        return left
+    again = left.join(repeated, left["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    single = left.join(repeated, left["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    order = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.struct(*docs.columns).alias("row"))
+    return single.unionAll(again.groupBy("doc_id").agg(F.min(order).alias("_least")).select("_least.row.*"))

@@ -180,7 +180,9 @@ def encoder(path):
     return Encoder(path)
 
 
-def _encoded(path, with_texts):
+def _encoded(path, names):
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+
     def run(batches):
         code = encoder(path)
         for batch in batches:
@@ -188,26 +190,26 @@ def _encoded(path, with_texts):
                 ids, bounds = code.encode(part)
                 decoded = code.decode(ids, bounds)
                 columns = {
-                    "doc_id": batch.column("doc_id").slice(first, len(part)),
-                    "n_tokens": pa.array(np.diff(bounds), pa.int64()),
+                    "doc_id": lambda: batch.column("doc_id").slice(first, len(part)),
+                    "n_tokens": lambda: pa.array(np.diff(bounds), pa.int64()),
+                    "ids": lambda: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))),
+                    "decoded": lambda: pa.array(decoded, pa.binary()).cast(pa.string()),
+                    "ids_sha256": lambda: pa.array(list(map(digest, code.decimals(ids, bounds))), pa.string()),
+                    "decoded_sha256": lambda: pa.array(list(map(digest, decoded)), pa.string()),
                 }
-                if with_texts:
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
-                    columns["decoded"] = pa.array(decoded, pa.binary()).cast(pa.string())
-                else:
-                    digest = lambda x: hashlib.sha256(x).hexdigest()
-                    columns["ids_sha256"] = pa.array(list(map(digest, code.decimals(ids, bounds))), pa.string())
-                    columns["decoded_sha256"] = pa.array(list(map(digest, decoded)), pa.string())
-                yield pa.RecordBatch.from_pydict(columns)
+                yield pa.RecordBatch.from_pydict({name: columns[name]() for name in names})
 
     return run
 
 
-def encode(docs: DataFrame, path=VOCABULARY) -> DataFrame:
-    """``(doc_id, n_tokens, ids, decoded)`` for each row."""
-    return texts(docs).mapInArrow(_encoded(path, True), "doc_id long, n_tokens long, ids array<int>, decoded string")
+KINDS = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encode(docs: DataFrame, path=VOCABULARY, columns=("doc_id", "n_tokens", "ids", "decoded")) -> DataFrame:
+    """The named columns of ``KINDS`` for each row: ids, the text they decode to, or digests of them."""
+    return texts(docs).mapInArrow(_encoded(path, columns), ", ".join(f"{c} {KINDS[c]}" for c in columns))
 
 
 def digests(docs: DataFrame, path=VOCABULARY) -> DataFrame:
-    """The same round trip with the ids and the decoded text as SHA-256, made where they are."""
-    return texts(docs).mapInArrow(_encoded(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """The round trip with the ids and the decoded text as SHA-256, made where they are."""
+    return encode(docs, path, ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
