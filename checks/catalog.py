@@ -37,7 +37,7 @@ SENDER = {
 ORDER = ["google_maps", "justdial", "indiamart", "yellowpages", "clutch"]
 CAP = 40
 LIMIT = 5
-TREES = 10
+TREES = V.TREES
 QUERY = "digital marketing agency"
 LEAD_LIST = ", ".join(D.LEAD_COLUMNS)
 
@@ -256,6 +256,14 @@ def _(spark, sf):
     return RD.read_leads_csv(spark, path).select(*_TEXT)
 
 
+@query("S01_csv_keys", S.with_views("raw_leads", "SELECT row_number() OVER (ORDER BY lead_seq) - 1 AS lead_seq, nullif(business_name, '') AS business_name FROM raw_leads"))
+def _(spark, sf):
+    path = scratch_path(spark, "leads-csv")
+    ordered = raw(spark, sf).repartitionByRange(5, "lead_seq").sortWithinPartitions("lead_seq")
+    ordered.select(*_TEXT).write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return RD.read_leads_csv(spark, path).select("lead_seq", "business_name")
+
+
 @query("S03_read_pages", "SELECT page_id, url, md5(html) AS html_md5 FROM pages")
 def _(spark, sf):
     return RD.read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.md5("html").alias("html_md5"))
@@ -284,6 +292,14 @@ def _(spark, sf):
     return missing.unionByName(RD.read_log(spark, path))
 
 
+@query("S05_skip_batch_of_plain_log", S.with_views("sent_log", _LOG_SQL))
+def _(spark, sf):
+    path = scratch_path(spark, "log")
+    full_log(spark, sf).write.parquet(path)
+    SI.append_log(full_log(spark, sf), path, "again")
+    return RD.read_log(spark, path, skip_batch="again")
+
+
 @query("S06_read_responses", S.with_views("responses", "SELECT lead_seq, response FROM responses"))
 def _(spark, sf):
     return RD.read_responses(D.spark_responses(spark, sf))
@@ -621,6 +637,11 @@ def _(spark, sf):
     return CO.collect(leads(spark, sf), ORDER[:1], 7).select("lead_seq", "source", "business_name")
 
 
+@query("W02_collect_cap_2000", _collect_sql(ORDER, 2000, "lead_seq, source, business_name"))
+def _(spark, sf):
+    return CO.collect(leads(spark, sf), ORDER, 2000).select("lead_seq", "source", "business_name")
+
+
 @query("W02_collect_large_cap", _collect_sql(ORDER, 10**6, "lead_seq, source, business_name"))
 def _(spark, sf):
     return CO.collect(leads(spark, sf), ORDER, 10**6).select("lead_seq", "source", "business_name")
@@ -636,6 +657,31 @@ def _(spark, sf):
     return CA.select_campaign(eligible(spark, sf), log(spark, sf), LIMIT).select("lead_seq", "email", "ml_score", "disposition")
 
 
+# Scores that one decimal place does not tell apart.
+_FINE = "ml_score + (lead_seq % 997) / 100000.0"
+
+
+def _fine_sql(limit):
+    fine = f"fine AS (SELECT * REPLACE ({_FINE} AS ml_score) FROM eligible)"
+    heads = S.CTES["heads"].replace("FROM eligible", "FROM fine")
+    return S.with_views("eligible", "sent_log", f", {fine}, heads AS ({heads}) SELECT lead_seq, disposition FROM ({S.dispositions(limit)})")
+
+
+def _fine(spark, sf, limit):
+    fine = eligible(spark, sf).withColumn("ml_score", F.expr(_FINE.replace("100000.0", "100000.0D")))
+    return CA.select_campaign(fine, log(spark, sf), limit).select("lead_seq", "disposition")
+
+
+@query("W04_fine_scores", _fine_sql(LIMIT))
+def _(spark, sf):
+    return _fine(spark, sf, LIMIT)
+
+
+@query("W04_large_limit", _fine_sql(CA.SMALL_LIMIT + 1))
+def _(spark, sf):
+    return _fine(spark, sf, CA.SMALL_LIMIT + 1)
+
+
 @query("W05_first_per_email", S.with_views("scored", "SELECT lead_seq, email FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ml_score DESC, lead_seq) AS n FROM scored WHERE email <> 'N/A') WHERE n = 1"))
 def _(spark, sf):
     return CA.first_per_email(LE.with_email(scored(spark, sf))).select("lead_seq", "email")
@@ -646,6 +692,12 @@ def _(spark, sf):
     return RA.with_rank(scored(spark, sf).select("lead_seq", "ml_score"))
 
 
+@query("W06_rank_with_missing_scores", S.with_views("scored", ", gaps AS (SELECT lead_seq, CASE WHEN lead_seq % 7 > 0 THEN ml_score END AS ml_score FROM scored) SELECT lead_seq, ml_score, row_number() OVER (ORDER BY ml_score DESC NULLS LAST, lead_seq) - 1 AS rank FROM gaps"))
+def _(spark, sf):
+    gaps = scored(spark, sf).select("lead_seq", F.when(F.col("lead_seq") % 7 > 0, F.col("ml_score")).alias("ml_score"))
+    return RA.with_rank(gaps)
+
+
 @query("O01_rank_leads", S.with_views("scored", "SELECT lead_seq, business_name, ml_score FROM scored ORDER BY ml_score DESC, lead_seq"))
 def _(spark, sf):
     return RA.rank_leads(scored(spark, sf)).select("lead_seq", "business_name", "ml_score")
@@ -699,9 +751,20 @@ def _(spark, sf):
     return rest.withColumn("in_test", F.lit(False)).unionByName(test.withColumn("in_test", F.lit(True)))
 
 
+_MODELS = {}
+
+
+def trained_model(spark, sf):
+    """The model of the leads; fitted once per session and folder, since several queries look at it."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _MODELS:
+        _MODELS[key] = SC.train(leads(spark, sf), TREES)
+    return _MODELS[key]
+
+
 @query("M04_train")
 def _(spark, sf):
-    trained = SC.train(leads(spark, sf), TREES)
+    trained = trained_model(spark, sf)
     weights = trained.model.stages[-1].featureImportances.toArray()
     rows = [(n, float(w), trained.single_class) for n, w in zip(V.FEATURE_COLUMNS, weights)]
     return spark.createDataFrame(rows, "feature string, importance double, single_class boolean")
@@ -709,13 +772,51 @@ def _(spark, sf):
 
 @query("M05_evaluate")
 def _(spark, sf):
-    return SC.train(leads(spark, sf), TREES).report
+    return trained_model(spark, sf).report
+
+
+_IN_TEST = "SELECT lead_seq, row_number() OVER (ORDER BY md5(concat('42:', CAST(lead_seq AS VARCHAR))), lead_seq) <= ceil(0.2 * (SELECT count(*) FROM raw_leads)) AS in_test FROM raw_leads"
+
+
+@query(
+    "M05_support",
+    S.with_views("raw_leads", "labelled", f", parts AS ({_IN_TEST}) " + " UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) FILTER (label = {label}) AS support FROM labelled JOIN parts USING (lead_seq) WHERE in_test"
+        for label, name in V.CLASS_NAMES.items()
+    )),
+)
+def _(spark, sf):
+    return trained_model(spark, sf).report.where(F.col("name").isin(list(V.CLASS_NAMES.values()))).select("name", "support")
+
+
+@query("M04_agreement", "SELECT true AS agrees")
+def _(spark, sf):
+    """A model of rule labels gives nearly all leads their rule label."""
+    rows = labelled(spark, sf)
+    share = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    return trained_model(spark, sf).model.transform(rows).agg((share >= 0.95).alias("agrees"))
+
+
+@query("M06_range", S.with_views("raw_leads", "SELECT count(*) AS leads, count(*) AS in_range FROM raw_leads"))
+def _(spark, sf):
+    found = SC.predict_proba(trained_model(spark, sf).model, leads(spark, sf))
+    return found.agg(F.count("*").alias("leads"), F.count_if(F.col("probability_good").between(0, 1)).alias("in_range"))
+
+
+@query("M07_consistent", S.with_views("raw_leads", "SELECT lead_seq, true AS grade_fits, true AS recommendation_fits FROM raw_leads"))
+def _(spark, sf):
+    found = SC.score(leads(spark, sf), trained_model(spark, sf).model, ordered=False)
+    return found.select(
+        "lead_seq",
+        (F.col("ml_grade") == G.grade("ml_score")).alias("grade_fits"),
+        (F.col("ml_recommend") == G.recommend("ml_score")).alias("recommendation_fits"),
+    )
 
 
 @query("M06_predict_proba")
 def _(spark, sf):
     df = leads(spark, sf)
-    return SC.predict_proba(SC.train(df, TREES).model, df).select("lead_seq", "probability_good")
+    return SC.predict_proba(trained_model(spark, sf).model, df).select("lead_seq", "probability_good")
 
 
 @query("M07_score")
@@ -773,6 +874,14 @@ def _(spark, sf):
     return RD.read_log(spark, path)
 
 
+@query("K03_append_to_plain_log", S.with_views("heads", f"{_LOG_SQL} UNION ALL {_ENTRIES}"))
+def _(spark, sf):
+    path = scratch_path(spark, "log")
+    full_log(spark, sf).write.parquet(path)
+    SI.append_log(_entries(spark, sf), path, "new")
+    return RD.read_log(spark, path)
+
+
 @query("K04_empty_writes_nothing", S.with_views("raw_leads", "SELECT false AS empty_written, true AS full_written, count(*) AS leads FROM raw_leads"))
 def _(spark, sf):
     df = raw(spark, sf)
@@ -805,10 +914,16 @@ def _(spark, sf):
 
 @query("T02_outreach", S.with_views("eligible", "sent_log", "SELECT DISTINCT email AS to_email, 'dry_run' AS status FROM eligible WHERE email NOT IN (SELECT to_email FROM sent_log)"))
 def _(spark, sf):
-    path = scratch_path(spark, "stream-log")
+    """All leads arrive at once, then one more at a time; a limit of a third reaches all in the end."""
+    path, arriving = scratch_path(spark, "stream-log"), scratch_path(spark, "arriving")
     SI.append_log(full_log(spark, sf), path, "before")
+    limit = -(-CA.fresh_leads(eligible(spark, sf), log(spark, sf)).count() // 3)
+    raw(spark, sf).coalesce(1).write.parquet(arriving)
+    for _ in range(3):
+        raw(spark, sf).limit(1).write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(spark.read.parquet(arriving).schema).option("maxFilesPerTrigger", 1).parquet(arriving)
     run = (
-        LI.outreach(_arriving(spark, sf), SC.rule_scored, path, SENDER, limit=10**9)
+        LI.outreach(stream, SC.rule_scored, path, SENDER, limit=max(1, limit))
         .option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start()
     )
     run.awaitTermination()

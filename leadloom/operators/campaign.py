@@ -1,5 +1,7 @@
 """Choice of leads to write to under a limit, messages and log entries."""
 
+import sys
+
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
@@ -68,7 +70,7 @@ def select_campaign(eligible, log, limit=V.DAILY_LIMIT, outcome=None):
     fresh = fresh_leads(eligible.select(*keep), log)
     done = fresh.where(F.col(outcome) != "failed") if outcome else fresh
     if limit <= SMALL_LIMIT:
-        chosen = done.orderBy(F.desc("ml_score"), "lead_seq").limit(limit)
+        chosen = done.orderBy(_worse(), "lead_seq").limit(limit)
         cut = chosen.agg(F.when(F.count("*") == limit, F.max(_place())).alias("cut")).scalar()
     else:
         cut = _far_cut(done, limit)
@@ -88,25 +90,26 @@ def select_campaign(eligible, log, limit=V.DAILY_LIMIT, outcome=None):
     )
 
 
+def _worse():
+    """Ascends from the best score down; leads without a score come last."""
+    return F.coalesce(-F.col("ml_score").cast("double"), F.lit(sys.float_info.max))
+
+
 def _place():
     """Order of a walk, best first."""
-    return F.struct((-F.col("ml_score")).alias("s"), F.col("lead_seq").alias("q"))
+    return F.struct(_worse().alias("s"), F.col("lead_seq").alias("q"))
 
 
 def _far_cut(done, limit):
-    """Place of the ``limit``-th lead without sorting, for limits too large for a top list.
-
-    Scores have one decimal place, so tenths order them exactly.
-    """
-    tenths = (-F.rint(F.col("ml_score") * 10)).cast("bigint")
-    places = done.select("lead_seq", tenths.alias("tenths")).persist()
+    """Place of the ``limit``-th lead without sorting, for limits too large for a top list."""
+    places = done.select("lead_seq", _worse().alias("worse")).persist()
     try:
-        last = nth_smallest(places, "tenths", limit)
+        last = nth_smallest(places, "worse", limit)
         if last is None:
             return F.lit(None).cast("struct<s:double,q:bigint>")
-        better = places.where(F.col("tenths") < last).count()
-        seq = nth_smallest(places.where(F.col("tenths") == last), "lead_seq", limit - better)
-        return F.struct(F.lit(last / 10.0).alias("s"), F.lit(seq).cast("bigint").alias("q"))
+        better = places.where(F.col("worse") < last).count()
+        seq = nth_smallest(places.where(F.col("worse") == last), "lead_seq", limit - better)
+        return F.struct(F.lit(last).alias("s"), F.lit(seq).cast("bigint").alias("q"))
     finally:
         places.unpersist()
 

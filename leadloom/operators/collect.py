@@ -2,7 +2,6 @@
 
 from functools import reduce
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
@@ -10,10 +9,6 @@ from leadloom.operators.leads import first_per
 from leadloom.operators.ranking import nth_smallest
 from leadloom.session import shared_dir
 
-# Above this many candidate names the choice is made source by source over written tables.
-SMALL_CHOICE = 500_000
-
-
 def first_occurrences(leads):
     """Earliest lead per source and name."""
     return first_per(leads, ["source", "business_name"], "lead_seq")
@@ -31,43 +26,21 @@ def collect(leads, order, max_results=V.MAX_RESULTS):
     A name blocks later sources only once it was taken; one cut off by a cap may be taken
     by the next source. Names are compared as they are, so clean the leads first.
 
-    Earlier sources take at most ``len(order) * max_results`` names, so the first that many
-    names of a source always hold its whole choice. Where that is small the choice is
-    one plan; otherwise it goes source by source with each result written out.
+    The sources follow each other: names already taken leave by an anti join, and the place of the
+    last name under the cap is found by counting, so no source is ever sorted.
     """
     order = list(dict.fromkeys(order))
     if max_results <= 0 or not order:
         return leads.where(F.lit(False))
     wanted = leads.where(F.col("source").isin(order))
-    firsts = wanted.groupBy("source", "business_name").agg(F.min("lead_seq").alias("lead_seq"))
-    if max_results * len(order) ** 2 <= SMALL_CHOICE:
-        taken = F.broadcast(_choose_at_once(firsts, order, max_results))
-    else:
-        taken = _choose_by_source(firsts, order, max_results)
+    shared_dir(leads.sparkSession)
+    firsts = wanted.groupBy("source", "business_name").agg(F.min("lead_seq").alias("lead_seq")).checkpoint()
+    taken = _choose_by_source(firsts, order, max_results)
     return wanted.join(taken, "lead_seq", "left_semi").select(leads.columns)
 
 
-def _choose_at_once(firsts, order, n):
-    """Bounded candidates, one row per name with its place in every source; then one
-    ranking per source among the names still free."""
-    by_place = W.partitionBy("source").orderBy("lead_seq")
-    near = firsts.withColumn("place", F.row_number().over(by_place)).where(F.col("place") <= n * len(order))
-    places = [f"place_{i}" for i in range(len(order))]
-    names = near.groupBy("business_name").agg(
-        *[F.min(F.when(F.col("source") == s, F.col("lead_seq"))).alias(p) for s, p in zip(order, places)]
-    ).withColumn("lead_seq", F.lit(None).cast("bigint"))
-    for p in places:
-        free = F.col("lead_seq").isNull() & F.col(p).isNotNull()
-        in_line = W.orderBy(F.desc(free), p)
-        names = names.withColumn("line", F.row_number().over(in_line)).withColumn(
-            "lead_seq", F.when(free & (F.col("line") <= n), F.col(p)).otherwise(F.col("lead_seq"))
-        )
-    return names.where("lead_seq IS NOT NULL").select("lead_seq")
-
-
 def _choose_by_source(firsts, order, n):
-    """The same choice for large caps: an anti join and an exact cut per source."""
-    shared_dir(firsts.sparkSession)
+    """Keys of the taken leads: an anti join and an exact cut per source."""
     taken = []
     for source in order:
         open_names = firsts.where(F.col("source") == source)

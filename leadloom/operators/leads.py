@@ -22,7 +22,7 @@ def to_leads(cards, site, query):
     """Raw leads of one site's cards: each field picked by that site's rules.
 
     ``lead_seq`` orders sites, pages and cards and is unique over all sites, for page
-    numbers below 2^40 and up to 2^20 cards on a page.
+    numbers from 0 below 2^40 and up to 2^20 cards on a page; others raise an error.
     """
     source = site["source"]
     missing = F.lit(V.MISSING)
@@ -35,8 +35,12 @@ def to_leads(cards, site, query):
     elif source == V.LISTING_SITE["source"]:
         rating = first_hit("ratings")
     first = SITE_ORDER.index(source) << SITE_SHIFT
+    pages, places = 1 << SITE_SHIFT - PAGE_SHIFT, 1 << PAGE_SHIFT
+    fits = F.col("page_id").between(0, pages - 1) & F.col("card_pos").between(0, places - 1)
+    key = F.lit(first) + F.shiftleft("page_id", PAGE_SHIFT) + F.col("card_pos")
+    refuse = F.raise_error(F.format_string("page %s, card %s has no lead_seq", "page_id", "card_pos")).cast("bigint")
     return cards.select(
-        (F.lit(first) + F.shiftleft("page_id", PAGE_SHIFT) + F.col("card_pos")).alias("lead_seq"),
+        F.when(fits, key).otherwise(refuse).alias("lead_seq"),
         F.lit(source).alias("source"),
         picked["name"].alias("business_name"),
         missing.alias("email"),

@@ -1,12 +1,10 @@
 """Exact order statistics and ranks without a single-task sort."""
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import once
+from leadloom.session import shared_dir
 
 # Slices counted per pass, and the slice size that is simply read out.
 _FAN = 1 << 16
@@ -14,72 +12,62 @@ _READ_OUT = 100_000
 
 
 def nth_smallest(df, column, n):
-    """Exact n-th smallest value of a BIGINT column, or None if there are fewer than n.
+    """Exact n-th smallest value of a BIGINT or DOUBLE column, or None if there are fewer than n.
 
     ``n`` is a number, or a function giving it for the number of values.
 
-    Each pass counts equal slices of the remaining value range, so only a bounded number
-    of counts reaches the driver and no row is moved; a slice with few rows is read out.
+    Each pass counts slices of the remaining value range, so only a bounded number of
+    counts reaches the driver and no row is moved; a slice with few rows is read out. A value's
+    slice never decreases with the value, which is all that the counts need.
     """
-    total, low, high = df.agg(F.count(column), F.min(column), F.max(column)).first()
-    n = n(total) if callable(n) else n
-    if n < 1 or total < n:
+    df = df.where(F.col(column).isNotNull())
+    rows, low, high = df.agg(F.count(column), F.min(column), F.max(column)).first()
+    n = n(rows) if callable(n) else n
+    if n < 1 or rows < n:
         return None
-    left, rows, inside = n, total, df
+    left, inside = n, df
     while low < high and rows > _READ_OUT:
-        width = (high - low) // _FAN + 1
-        slice_of = F.expr(f"cast(({column} - ({low}L)) div {width}L as int)").alias("slice")
-        for position, rows in sorted(inside.groupBy(slice_of).count().collect()):
+        slice_of = F.least(F.floor(_above(column, low, high) * (_FAN / (high - low))), F.lit(_FAN - 1)).cast("int")
+        sliced = inside.withColumn("_slice", slice_of)
+        counts = sliced.groupBy("_slice").agg(F.count("*"), F.min(column), F.max(column))
+        for position, rows, least, most in sorted(counts.collect()):
             if rows >= left:
                 break
             left -= rows
-        low, high = low + position * width, min(high, low + (position + 1) * width - 1)
+        low, high = least, most
         inside = df.where(once(column, lambda v: v.between(low, high)))
     if low == high:
         return low
     return inside.select(column).orderBy(column).limit(left).agg(F.max(column)).first()[0]
 
 
+def _above(column, low, high):
+    """How far a value lies above ``low``, without overflow over the full range of BIGINT."""
+    if isinstance(low, int) and high - low < 1 << 63:
+        return (F.col(column) - F.lit(low)).cast("double")
+    return F.col(column).cast("double") - F.lit(float(low))
+
+
 def rank_leads(scored, score="ml_score"):
     """Best first; equal scores in collection order."""
     return scored.orderBy(F.desc(score), "lead_seq")
 
 
-def with_rank(scored, score="ml_score", levels=512, blocks=64):
-    """Dense 0-based position in best-first order, for every row.
+def with_rank(scored, score="ml_score"):
+    """Dense 0-based position in best-first order, for every row; NULL scores come last.
 
-    Rows are cut into a bounded number of ordered buckets: by score quantiles, where each
-    quantile value has a bucket to itself, and inside those by quantiles of ``lead_seq``,
-    so that even one score shared by most rows is spread. Positions are counted inside
-    the buckets and shifted by the sizes of the better ones. ``scored`` is read three
-    times; keep it in a table if it is costly to compute.
+    Rows are dealt out by ranges of (score, lead_seq), so a score shared by most rows is spread too,
+    sorted inside each partition and written to the shared folder. A row's position is
+    its place in its partition after the sizes of the partitions before.
     """
-    keyed = scored.withColumns(
-        {"_score": F.col(score).cast("double"), "_seq": F.col("lead_seq").cast("double")}
-    )
-
-    shares = [i / levels for i in range(1, levels)]
-    scores, seqs = keyed.approxQuantile(["_score", "_seq"], shares, 0.25 / levels)
-    exact, inf = sorted(set(scores)), math.inf
-    edges = sorted({e for s in exact for e in (s, math.nextafter(s, inf))}) or [0.0]
-    cuts = sorted(set(seqs[:: max(1, levels // blocks)])) or [0.0]
-    bucketed = Bucketizer(
-        splitsArray=[[-inf, *edges, inf], [-inf, *cuts, inf]],
-        inputCols=["_score", "_seq"],
-        outputCols=["_level", "_block"],
-    ).transform(keyed)
-    # Buckets between quantile values mix scores, so only single-score buckets are split.
-    bucketed = bucketed.withColumn("_block", F.when(F.col("_score").isin(exact), F.col("_block")).otherwise(0.0))
-    sizes = bucketed.groupBy("_level", "_block").agg(F.count("*").alias("_size"))
-    better = W.orderBy(F.desc("_level"), "_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_level", "_block", F.coalesce(F.sum("_size").over(better), F.lit(0)).alias("_offset")
-    )
-    inside = W.partitionBy("_level", "_block").orderBy(F.desc("_score"), "lead_seq")
-    # At most 2 * levels * blocks offsets: small by construction.
-    return (
-        bucketed.withColumn("_place", F.row_number().over(inside))
-        .join(F.broadcast(offsets), ["_level", "_block"])
-        .withColumn("rank", (F.col("_offset") + F.col("_place") - 1).cast("bigint"))
-        .select(*scored.columns, "rank")
-    )
+    shared_dir(scored.sparkSession)
+    order = [F.col(score).desc_nulls_last(), F.col("lead_seq")]
+    dealt = scored.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = dealt.select(*scored.columns, F.monotonically_increasing_id().alias("_id")).checkpoint()
+    # The number of the partition is in the upper bits, the place in the lower 33.
+    placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND((1 << 33) - 1))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    # One offset per partition of the shuffle.
+    return placed.join(F.broadcast(offsets), "_part").select(*scored.columns, (F.col("_offset") + F.col("_place")).alias("rank"))

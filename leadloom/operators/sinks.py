@@ -1,6 +1,7 @@
 """Writers. An empty table writes nothing."""
 
 import uuid
+from urllib.parse import quote
 
 from leadloom.operators.leads import clean_leads, dedupe_leads, export_columns
 
@@ -28,11 +29,11 @@ def write_scored(df, path, file_format="csv", mode="overwrite"):
 
 
 def append_log(entries, path, batch_id=None):
-    """Add one batch to the log at ``path``.
+    """Add one batch to the log at ``path``; what the log holds already stays readable.
 
     Each batch has its own folder. Writing the same batch again replaces it, so a step
     that is repeated after a failure does not log anything twice.
     """
     batch_id = batch_id or uuid.uuid4().hex
-    entries.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    entries.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={quote(str(batch_id), safe='')}")
     return batch_id

@@ -40,7 +40,9 @@ def collect_from_pages(pages_by_source, settings):
     ]
     if not found:
         raise ValueError("no pages for any enabled source")
-    leads = clean_leads(require_name(union_sources(*found)))
+    # Parsing is the costly part: its result is written out once, and what follows reads that.
+    shared_dir(found[0].sparkSession)
+    leads = clean_leads(require_name(union_sources(*found))).checkpoint()
     return collect(leads, [s["source"] for s in sites], settings.max_results)
 
 
@@ -96,11 +98,10 @@ def campaign_run(scored, log_path, responses, settings, at=None, batch_id=None,
 def full_run(pages_by_source, payloads, responses, settings, out):
     """All four steps; files go under the folder ``out``. None if nothing was collected."""
     leads = collect_from_pages(pages_by_source, settings)
-    if not nonempty(leads):
-        return None
     if payloads is not None:
         leads = enrich(leads, read_contacts(payloads))
-    shared_dir(leads.sparkSession)
     leads = leads.checkpoint()
+    if not nonempty(leads):
+        return None
     scored, _ = score_run(leads, settings, f"{out}/model", f"{out}/scored")
     return campaign_run(scored, f"{out}/log", responses, settings)

@@ -1,7 +1,9 @@
 """Session set-up and the shared folder used for cut lineage and scratch tables."""
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -24,7 +26,25 @@ def get_spark(app="leadloom", master=None, **conf):
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark):
+    """Sends this package to the executors, once per application, so that functions that run
+    there can be imported wherever the program was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_leadloom_sent", None) != sc.applicationId:
+        package = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="leadloom-"), "leadloom.zip")
+        with zipfile.ZipFile(path, "w") as file:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        file.write(full, os.path.relpath(full, os.path.dirname(package)))
+        sc.addPyFile(path)
+        sc._leadloom_sent = sc.applicationId
+    return spark
 
 
 def shared_dir(spark):
@@ -33,7 +53,7 @@ def shared_dir(spark):
     Only a local master may fall back to a folder of its own; on a cluster an unset
     value is an error, because executors could not read each other's files.
     """
-    sc = spark.sparkContext
+    sc = ship(spark).sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
         if not sc.master.startswith("local"):

@@ -13,6 +13,7 @@ from leadloom import fixed_values as V
 from leadloom.functions.text import clean, website_domain
 from leadloom.schemas import CARD, CARD_FIELDS
 from leadloom.sources.markup import Page, compile_selector
+from leadloom.session import ship
 
 
 def _compiled(site):
@@ -68,6 +69,7 @@ def extract_cards(pages, site, parts=None):
     about a megabyte of HTML per second and core: ``parts`` spreads the pages over that
     many tasks where the partitions of the input are too large for that.
     """
+    ship(pages.sparkSession)
     cards, fields, take = _compiled(site)
 
     def run(batches):

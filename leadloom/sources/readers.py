@@ -1,6 +1,9 @@
 """Readers with fixed schemas."""
 
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
@@ -12,12 +15,20 @@ LOG_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SENT_LOG)
 def read_leads_csv(spark, path, multi_line=False):
     """Lead CSV with a header, matched by column name; absent columns read ``N/A``.
 
-    Values stay text: ``N/A`` is kept and an empty field is NULL. ``lead_seq`` follows
-    the rows of a file; several files come in the order in which Spark reads them. Set ``multi_line`` only for quoted line breaks: it reads each file whole.
+    Values stay text: ``N/A`` is kept and an empty field is NULL. ``lead_seq`` numbers the
+    rows of all files, in order of path and place in the file, however Spark splits them.
+    Set ``multi_line`` only for quoted line breaks: it reads each file whole.
     """
     raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
     text = [F.col(c) if c in raw.columns else F.lit(V.MISSING).alias(c) for c in LEAD_TEXT]
-    return raw.select(F.monotonically_increasing_id().alias("lead_seq"), *text)
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split")]
+    rows = raw.select(F.monotonically_increasing_id().alias("_row"), *split, *text)
+    # One row per split: the number of rows before it and the first of its own numbers.
+    sizes = rows.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    seq = (F.col("_base") + F.col("_row") - F.col("_first")).alias("lead_seq")
+    return rows.join(bases, ["_file", "_split"]).select(seq, *LEAD_TEXT)
 
 
 def leads_from_rows(spark, rows):
@@ -49,15 +60,19 @@ def read_contacts(payloads):
 
 
 def read_log(spark, path, skip_batch=None):
-    """Send log, empty if it does not exist yet. ``skip_batch`` leaves one batch out."""
+    """Send log, empty if it does not exist yet. ``skip_batch`` leaves one batch out.
+
+    Files that lie at the path itself belong to no batch and are read as well.
+    """
     try:
-        log = spark.read.schema(f"{LOG_DDL}, batch_id string").parquet(path)
+        log = spark.read.schema(LOG_DDL).option("recursiveFileLookup", True).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SENT_LOG)
     if skip_batch is not None:
-        log = log.where(F.col("batch_id") != str(skip_batch))
+        folder = F.regexp_extract("_metadata.file_path", "/batch_id=([^/]*)/[^/]*$", 1)
+        log = log.where(F.url_decode(folder) != quote(str(skip_batch), safe=""))
     return log.select(SENT_LOG.fieldNames())
 
 

