@@ -204,10 +204,11 @@ def confirmed(members: DataFrame, percent, block=BLOCK, block_shingles=BLOCK_SHI
     """Links ``(a, b)`` that connect what is similar within clusters, from ``(cluster, class, shingles)``."""
     size = F.octet_length("shingles") / 8
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(size).alias("s"))
-    sizes = sizes.select("cluster", _blocks(F.col("n"), F.col("s"), block, block_shingles).alias("n_blocks"))
+    # Stored, so that a small table is broadcast and no cluster is gathered in one task.
+    sizes = stored(sizes.select("cluster", _blocks(F.col("n"), F.col("s"), block, block_shingles).alias("n_blocks")), "cluster-sizes")
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")))
     inside = placed.select("cluster", "block", "class", F.col("class").alias("label"), "shingles")
-    links = stored(inside.groupBy("cluster", "block").applyInArrow(_links(percent), "a long, b long"), "links-inside")
+    links = stored(inside.repartition("cluster", "block").groupBy("cluster", "block").applyInArrow(_links(percent), "a long, b long"), "links-inside")
     large = stored(placed.where("n_blocks > 1").drop("block"), "large-clusters")
     if large.isEmpty():
         return links
@@ -216,11 +217,11 @@ def confirmed(members: DataFrame, percent, block=BLOCK, block_shingles=BLOCK_SHI
     labelled = large.join(names.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))
     labelled = stored(labelled.drop("component"), "labelled")
     by_label = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    main = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    main = stored(by_label.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "main-labels")
     known = labelled.join(main, "cluster").withColumn("stray", F.col("label") != F.col("main")).drop("main")
     strays = known.where("stray")
     counts = strays.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(size).alias("s"))
-    counts = counts.select("cluster", _blocks(F.col("n"), F.col("s"), block, block_shingles).alias("n_strays"))
+    counts = stored(counts.select("cluster", _blocks(F.col("n"), F.col("s"), block, block_shingles).alias("n_strays")), "stray-sizes")
     known = known.join(counts, "cluster").withColumn("i", F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_strays"))).withColumn(
         "j", F.pmod(F.xxhash64("class"), F.col("n_blocks"))
     )
@@ -231,7 +232,7 @@ def confirmed(members: DataFrame, percent, block=BLOCK, block_shingles=BLOCK_SHI
     pairs = left.select(*columns, "stray", F.col("i").cast("long"), F.col("j").cast("long")).unionAll(
         right.select(*columns, "stray", F.col("i").cast("long"), F.col("j").cast("long"))
     )
-    across = pairs.groupBy("cluster", "i", "j").applyInArrow(_links(percent), "a long, b long")
+    across = pairs.repartition("cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(_links(percent), "a long, b long")
     return links.unionAll(stored(across, "links-across"))
 
 

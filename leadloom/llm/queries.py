@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import decontaminate, lm_scoring, merge_count, near_dedup, prefix_bpe, quality_pu, quality_rules, token_store, toxicity, warc
+from leadloom.llm.oracles import ORACLES  # noqa: F401
 from leadloom.llm.tables import table
 from leadloom.session import scratch_path
 
@@ -46,7 +47,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule_failed")
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,3 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
