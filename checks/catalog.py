@@ -821,7 +821,7 @@ def _(spark, sf):
 
 @query("M07_score")
 def _(spark, sf):
-    return SC.score(leads(spark, sf), trees=TREES)
+    return SC.score(leads(spark, sf), trained_model(spark, sf).model)
 
 
 @query("M08_grade_leads", S.with_views("scored", f"SELECT lead_seq, ml_score, ml_grade, ml_recommend FROM scored"))
