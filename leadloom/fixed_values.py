@@ -198,7 +198,6 @@ LOG_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 PREVIEW_LENGTH = 80
 
 # Message texts.
-UNKNOWN_BUSINESS = "your business"
 UNKNOWN_CITY = "your area"
 GENERATED_SUBJECT = "Quick question about {business_name}"
 TEMPLATE_SUBJECT = "Quick idea for {business_name}"

@@ -66,11 +66,21 @@ def category_score(name, category):
     return once(text, score)
 
 
+# Decimal digits of any script, and the other characters that count as digits: raised, lowered,
+# circled, bracketed and dotted ones and those of scripts without decimal digits.
+DIGITS = (
+    r"\p{Nd}\u00b2\u00b3\u00b9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089"
+    r"\u2460-\u2468\u2474-\u247c\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff"
+    r"\u2776-\u277e\u2780-\u2788\u278a-\u2792"
+    r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
+)
+
+
 def address_completeness(c):
     """Shares for a digit, a comma and more than thirty characters; missing scores 0."""
     address = _col(c)
     total = (
-        F.when(address.rlike(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"), V.ADDRESS_DIGIT).otherwise(0.0)
+        F.when(address.rlike(f"[{DIGITS}]"), V.ADDRESS_DIGIT).otherwise(0.0)
         + F.when(address.contains(","), V.ADDRESS_COMMA).otherwise(0.0)
         + F.when(F.length(address) > V.ADDRESS_LONG_ABOVE, V.ADDRESS_LONG).otherwise(0.0)
     )

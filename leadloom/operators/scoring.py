@@ -205,14 +205,15 @@ def predict_proba(model, df):
     return scored.select(*df.columns, good.alias("probability_good"))
 
 
-def score(df, model=None, trees=V.TREES, ordered=True):
+def score(df, model=None, trees=V.TREES, ordered=True, model_path=None):
     """Score, grade and recommendation per lead, best first.
 
-    Without a model one is trained on the same leads. ``ordered=False`` leaves out the
+    Without a model the one saved at ``model_path`` is loaded; where there is none, one is trained
+    on the same leads, and saved there if a path is given. ``ordered=False`` leaves out the
     total sort where the next step does not need it.
     """
     if model is None:
-        model = train(df, trees).model
+        model = train(df, trees).model if model_path is None else load_or_train(df, model_path, trees)
     scored = (
         predict_proba(model, df)
         .withColumn("ml_score", score_from_probability("probability_good"))

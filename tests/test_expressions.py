@@ -100,6 +100,14 @@ def test_address(spark):
     ])
 
 
+def test_every_digit_counts(spark):
+    digits = [chr(c) for c in range(0x110000) if chr(c).isdigit()]
+    others = ["½", "Ⅷ", "十", "x", "〇"]
+    df = spark.createDataFrame([(c,) for c in [*digits, *others]], "x string")
+    got = {r.x: r.y for r in df.select("x", FE.address_completeness("x").alias("y")).collect()}
+    assert {c for c in digits if got[c] != 0.4 and c < "\U00010d00"} == set() and all(got[c] == 0.0 for c in others)
+
+
 def test_completeness_and_rule_score(spark):
     row = dict(has_email=1, has_phone=0, has_website=1, has_address=1, rating_score=0.9,
                source_score=0.85, category_score=0.82, address_completeness=0.7)
