@@ -1,7 +1,6 @@
 """The queries of this subpackage over the given tables, and SQL for those it can express."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leadloom.llm import decontaminate, lm_scoring, merge_count, near_dedup, prefix_bpe, quality_pu, quality_rules, token_store, toxicity, warc
 from leadloom.llm.oracles import ORACLES  # noqa: F401
