@@ -1,6 +1,5 @@
 """Sources, sinks, model, streams and whole runs."""
 
-import random
 
 import pytest
 from pyspark.sql import functions as F
