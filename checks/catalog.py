@@ -18,7 +18,6 @@ from leadloom.operators import report as RE
 from leadloom.operators import scoring as SC
 from leadloom.operators import sinks as SI
 from leadloom.plans import runs as RU
-from leadloom.schemas import SENT_LOG
 from leadloom.session import scratch_path
 from leadloom.sources import cards as CD
 from leadloom.sources import readers as RD
