@@ -138,18 +138,25 @@ def _present(model):
 
 def fit(rows, ratios, rounds=200, penalty=1.0, rate=0.1):
     """(weights, intercept) of a weighted logistic regression on features scaled by their ratios."""
-    y, sample_weight = rows["toxic"].to_numpy(float), rows["weight"].to_numpy(float)
-    sizes = rows["features"].map(len).to_numpy()
-    feature = np.concatenate([*rows["features"], np.zeros(0, np.int32)]).astype(np.int64)
-    row, value = np.repeat(np.arange(len(y)), sizes), ratios[feature]
+    y, sample_weight = rows["toxic"].to_numpy().astype(float), rows["weight"].to_numpy()
+    lists = rows["features"].combine_chunks()
+    feature, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    # Runs of rows of about a million features, so that little is held beside the features.
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)).tolist() + [0, len(y)])
     share = np.clip((y * sample_weight).sum() / sample_weight.sum(), 1e-6, 1 - 1e-6)
     w = np.zeros(len(ratios) + 1)
     w[-1] = np.log(share / (1 - share))
     total, m, v = sample_weight.sum(), np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):  # Adam over all rows
-        z = w[-1] + np.bincount(row, value * w[feature], len(y))
-        slope = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * sample_weight / total
-        g = np.append(np.bincount(feature, value * slope[row], len(ratios)) + penalty * w[:-1] / total, slope.sum())
+        g = np.append(penalty * w[:-1] / total, 0.0)
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            f = feature[ends[first] : ends[last]]
+            row, value = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1])), ratios[f]
+            z = w[-1] + np.bincount(row, value * w[f], last - first)
+            slope = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[first:last]) * sample_weight[first:last] / total
+            g[:-1] += np.bincount(f, value * slope[row], len(ratios))
+            g[-1] += slope.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1] * ratios, w[-1]
@@ -162,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS) -> Model:
         return Model(np.zeros(0, np.int64), np.zeros(0), 50.0 if 1 in seen else -50.0)
     buckets, ratios = informative(chosen, seen[0]["n"], seen[1]["n"])
     model = Model(buckets, ratios, 0.0)
-    rows = chosen.mapInArrow(_present(model), "toxic int, weight double, features array<int>").toPandas()
+    rows = chosen.mapInArrow(_present(model), "toxic int, weight double, features array<int>").toArrow()
     return Model(buckets, *fit(rows, ratios))
 
 
