@@ -14,8 +14,8 @@ the classes and over the words of one class, normalised at every place.
 
 Training: each task goes over its texts once from the same start and fits words and classes against
 noise drawn from the unigram distribution (one draw shared by a batch, so that all scores are
-matrix products), at every ``STRIDE``-th place. The tasks' parameters are averaged by their
-numbers of places; they are summed in pieces as they stream in, never gathered.
+matrix products), at every place. The tasks' parameters are averaged by their numbers of places;
+they are summed in pieces as they stream in, never gathered.
 
 Scoring looks up the ``KNOWN`` most frequent words in the task; occurrences of rarer ones are joined
 with the counts by Spark. What is sent to tasks, the model and the known words, has a fixed bound.
@@ -37,7 +37,7 @@ from leadloom.llm.tables import fold, stored, texts
 SHORTLIST, CLASS_WORDS, TAILS = 8192, 128, 64
 KNOWN = 1 << 18
 DIMENSIONS, CONTEXT = 24, 4
-STRIDE, BATCH, RATE = 4, 2048, 0.1
+BATCH, RATE = 2048, 0.1
 CLASS_NOISE, WORD_NOISE = 32, 96
 PIECES = 64  # pieces in which parameters are summed
 ADD = 0.1
@@ -298,9 +298,8 @@ def _trained(vocabulary):
             for _, some, places in slices(data, offsets):
                 words, tails, bounds = tokens(some, places)
                 _, inputs = vocabulary.find(words, tails)
-                chosen = slice(int(trainer.rng.integers(STRIDE)), None, STRIDE)
-                held.append((inputs[chosen], contexts(inputs, bounds, len(vocabulary.word_share) + TAILS)[chosen]))
-                size += len(held[-1][0])
+                held.append((inputs, contexts(inputs, bounds, len(vocabulary.word_share) + TAILS)))
+                size += len(inputs)
                 if size >= 1 << 18:
                     learn()
                     held, size = [], 0

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from leadloom.llm import lm_scoring, quality_pu, quality_rules, toxicity
-from leadloom.llm.tables import table
+from leadloom.llm.tables import table, texts
 from tests.llm.conftest import edge_rows, same
 
 BETWEEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,6 +78,13 @@ def test_language_model_beats_the_base_on_held_out_texts(spark, small):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_training_sees_every_place(edges):
+    plain = texts(edges)
+    vocabulary = lm_scoring.Vocabulary(lm_scoring.count(plain))
+    parts = plain.mapInArrow(lm_scoring._trained(vocabulary), "piece int, places long, total binary")
+    assert sum(r["places"] for r in parts.where("piece = 0").collect()) == vocabulary.n > 20000
+
+
 def test_training_learns_contexts():
     """Words of two languages that never meet: the word before tells which may follow."""
 
