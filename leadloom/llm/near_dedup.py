@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.components import components
 from leadloom.llm.spans import BETWEEN_SPACES, hashes, mix, shingles, slices, text_column, word_ranges
-from leadloom.llm.tables import stored, texts
+from leadloom.llm.tables import row_key, stored, texts
 
 PERCENT = 80
 BANDS, ROWS = 40, 5
@@ -101,6 +101,7 @@ def _described(size):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id").slice(first, len(sets)),
+                        "key": batch.column("key").slice(first, len(sets)),
                         "row": pa.array(np.arange(number, number + len(sets))),
                         "low": pa.array([a for a, _ in ids], pa.int64()),
                         "high": pa.array([b for _, b in ids], pa.int64()),
@@ -237,18 +238,20 @@ def confirmed(members: DataFrame, percent, block=BLOCK, block_shingles=BLOCK_SHI
 
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, row, low, high, n_shingles, bands)`` for each document, stored."""
-    schema = "doc_id long, row long, low long, high long, n_shingles long, bands array<long>"
-    return stored(texts(docs).mapInArrow(_described(size), schema), "near-described")
+    """``(doc_id, key, row, low, high, n_shingles, bands)`` for each document, stored."""
+    schema = "doc_id long, key long, row long, low long, high long, n_shingles long, bands array<long>"
+    return stored(texts(docs).withColumn("key", row_key()).mapInArrow(_described(size), schema), "near-described")
 
 
 def near_groups(docs: DataFrame, size=5, percent=PERCENT, block=BLOCK, block_shingles=BLOCK_SHINGLES) -> DataFrame:
-    """``(doc_id, row, n_shingles, component_id)`` per document; ``row`` is a number of its own."""
+    """``(doc_id, key, row, n_shingles, component_id, chosen)`` per document; ``row`` is a number of its own,
+    and ``chosen`` tells whether no other id and text of the group come before these."""
     described = classes(docs, size)
     full = described.where("n_shingles > 0")
     # A class is named by its smallest row number; copies are combined before the exchange.
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     classed = stored(
-        full.groupBy("low", "high").agg(F.min("row").alias("class"), F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "near-classes"
+        full.groupBy("low", "high").agg(F.min("row").alias("class"), F.min(place).alias("least"), F.count("*").alias("n")), "near-classes"
     )
     named = full.join(classed.select(F.col("class").alias("row")), "row", "left_semi")
     banded = stored(named.select(F.col("row").alias("class"), F.explode("bands").alias("key")), "near-bands")
@@ -269,11 +272,17 @@ def near_groups(docs: DataFrame, size=5, percent=PERCENT, block=BLOCK, block_shi
     linked = components(confirmed(members, percent, block, block_shingles))
     final = classed.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     final = stored(final, "near-components")
-    smallest = final.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    smallest = final.groupBy("component").agg(F.min("least").alias("least"))
+    smallest = smallest.select("component", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("least_key"))
     by_class = stored(final.select("low", "high", "n", "component").join(smallest, "component"), "near-groups")
     # Many rows may share a class: adaptive execution splits them, one row stands on the other side.
-    return described.join(by_class.select("low", "high", "component_id"), ["low", "high"], "left").select(
-        "doc_id", "row", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return described.join(by_class.select("low", "high", "component_id", "least_key"), ["low", "high"], "left").select(
+        "doc_id",
+        "key",
+        "row",
+        "n_shingles",
+        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        ((F.col("n_shingles") == 0) | (F.col("key") == F.col("least_key"))).alias("chosen"),
     )
 
 
@@ -289,16 +298,22 @@ def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_dropped")), "left_anti")
 
 
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not among the stored ``dropped`` keys."""
+    return docs.join(dropped.select(F.col("key").alias("_dropped")), row_key() == F.col("_dropped"), "left_anti")
+
+
 def one_of_each(docs: DataFrame, size=5, percent=PERCENT, **blocks) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the smallest id stays. Rows that
-    share an id that stays are one document; the one whose text hashes lowest is kept."""
-    found = near_duplicates(docs, size, percent, **blocks).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count_if("kept").alias("n"))
-    by_id = stored(found, "near-kept")
-    left = without_ids(docs, stored(by_id.where(~F.col("kept")).select("doc_id"), "near-dropped"))
-    repeated = by_id.where("n > 1").select(F.col("doc_id").alias("_id"))
+    """The rows of ``docs`` without near-duplicates: of each group one row stays, which has its smallest id
+    (NULL is the largest) and of those the text that hashes lowest. Rows without a near text stay,
+    whatever their id."""
+    groups = stored(near_groups(docs, size, percent, **blocks).where("n_shingles > 0").select("key", "chosen"), "near-kept")
+    left = without_rows(docs, stored(groups.where(~F.col("chosen")).select("key").distinct(), "near-dropped"))
+    repeated = groups.where("chosen").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = stored(repeated.select(F.col("key").alias("_key")), "near-repeated")
     if repeated.isEmpty():
         return left
-    again = left.join(repeated, left["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    single = left.join(repeated, left["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    order = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.struct(*docs.columns).alias("row"))
-    return single.unionAll(again.groupBy("doc_id").agg(F.min(order).alias("_least")).select("_least.row.*"))
+    again = left.join(repeated, row_key() == F.col("_key"), "left_semi")
+    single = left.join(repeated, row_key() == F.col("_key"), "left_anti")
+    order = F.struct(*docs.columns)
+    return single.unionAll(again.groupBy(row_key().alias("_key")).agg(F.min(order).alias("_least")).select("_least.*"))

@@ -19,6 +19,11 @@ def texts(docs: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
     )
 
 
+def row_key():
+    """A row's id and text as one hash: what rows that share an id are told apart by."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: the lineage ends there, a lost
     executor costs no recomputation, and the planner knows the size."""

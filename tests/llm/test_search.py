@@ -10,7 +10,7 @@ import pytest
 
 from leadloom.llm import decontaminate, near_dedup, warc
 from leadloom.llm.components import components
-from leadloom.llm.tables import table
+from leadloom.llm.tables import row_key, table
 from tests.llm.conftest import edge_rows, same
 
 BETWEEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,6 +72,20 @@ def test_one_of_each_keeps_columns_and_a_single_row(edges):
     assert {i for i in ids if i is not None} == {i for i in by_hand if i is not None} and ids.count(7) <= 1
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Rows that share an id, NULL too, are documents of their own."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcde")
+    stay = [(None, a), (None, b), (3, c), (3, d), (None, ""), (None, ""), (5, e)]
+    go = [(None, a), (None, a + " tail"), (5, c + " tail"), (None, c.upper()), (5, e), (6, d)]
+    left = near_dedup.one_of_each(spark.createDataFrame(stay + go, "doc_id long, text string").repartition(3)).collect()
+    least = [(None, min((a, a + " tail"), key=lambda t: near_key(spark, t)))]
+    same(left, [*stay[1:], *least])
+
+
+def near_key(spark, text):
+    return spark.createDataFrame([(None, text)], "doc_id long, text string").select(row_key()).first()[0]
+
+
 def test_odd_sketch_estimates_high_similarities():
     rng = np.random.default_rng(0)
     for overlap in (0.95, 0.85):
