@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import decontaminate, near_dedup, prefix_bpe, quality_pu, quality_rules
-from leadloom.llm.tables import stored, table
+from leadloom.llm.tables import row_key, stored, table
 from leadloom.session import scratch_path
 
 
@@ -37,9 +37,10 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item."""
     folder = scratch_path(spark, "positional-index")
-    decontaminate.build(docs, folder)
+    # Rows are indexed by their keys, so that rows which share an id, or have none, are judged one by one.
+    decontaminate.build(docs.withColumn("doc_id", row_key()), folder)
     found = decontaminate.contamination(decontaminate.read(spark, folder), table(spark, sf_dir, "benchmark"))
-    return near_dedup.without_ids(docs, stored(found.where("contaminated").select("doc_id").distinct(), "contaminated"))
+    return near_dedup.without_rows(docs, stored(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -292,12 +292,6 @@ def near_duplicates(docs: DataFrame, size=5, percent=PERCENT, **blocks) -> DataF
     return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id, NULL included, is not among the stored ``dropped`` ids."""
-    gone = dropped.select(F.col("doc_id").alias("_dropped"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_dropped")), "left_anti")
-
-
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and text are not among the stored ``dropped`` keys."""
     return docs.join(dropped.select(F.col("key").alias("_dropped")), row_key() == F.col("_dropped"), "left_anti")

@@ -224,6 +224,16 @@ def test_pipeline_against_plain_steps(spark, small):
     assert got == {i: code.encode([t])[0].tolist() for i, t in plain}
 
 
+def test_decontamination_stage_drops_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = " ".join(f"p{k}" for k in range(12))
+    spark.createDataFrame([("i", passage)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stay = [(None, "clean"), (None, None), (None, "also clean"), (4, "a text that shares its id"), (5, "other")]
+    docs = spark.createDataFrame([*stay, (None, "x " + passage), (4, passage), (4, passage), (6, passage)], "doc_id long, text string")
+    same(corpus_pipeline.decontamination_stage(spark, docs.repartition(3), str(tmp_path)).collect(), stay)
+
+
 def test_pipeline_stages_keep_columns_and_take_edge_cases(spark, edges, nothing, tmp_path):
     import corpus_pipeline
 
