@@ -1,7 +1,9 @@
 """Texts scored by a log-bilinear language model trained with noise-contrastive estimation.
 
 Tokens are words and one end per text. The vocabulary is counted over all training texts. The
-most frequent words are the shortlist; the others fall into tail classes by their endings.
+words that occur ``LEAST_COUNT`` times are the shortlist, cut into square-root-many classes; the
+others fall into tail classes by their endings. The shortlist grows with the vocabulary up to
+``SHORTLIST`` words, which bounds the parameters to about 13 MB in a task.
 The predicted vector of a place is the sum of the ``CONTEXT`` words before it, each scaled by
 weights of its distance. From it come, by matrix products,
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.spans import BETWEEN_SPACES, LOWER, hashes, mix, slices, text_column, word_ranges
 from leadloom.llm.tables import fold, stored, texts
 
-SHORTLIST, CLASS_WORDS, TAILS = 8192, 128, 64
+SHORTLIST, LEAST_COUNT, TAILS = 1 << 16, 5, 64
 KNOWN = 1 << 18
 DIMENSIONS, CONTEXT = 24, 4
 BATCH, RATE = 2048, 0.1
@@ -111,6 +113,11 @@ def _cut(counts: DataFrame, limit):
     return int(inside.iloc[-1]) if len(inside) else int(top["c"].iloc[0]) + 1 if len(top) else 1
 
 
+def class_words(n_short, n_classes):
+    """How many words of the shortlist a class has; only the last may have fewer."""
+    return -(-n_short // n_classes)
+
+
 class Vocabulary:
     """The known words and the sums over all others."""
 
@@ -119,7 +126,7 @@ class Vocabulary:
         self.n, self.v, once = total["n"] or 0, total["v"], total["once"]
         self.unknown = (once + 0.5) / (self.n + 1)
         self.cut = _cut(counts, KNOWN)
-        short = max(_cut(counts, SHORTLIST), self.cut)
+        short = max(_cut(counts, SHORTLIST), self.cut, LEAST_COUNT)
         known = counts.where(F.col("c") >= self.cut).toPandas()  # at most KNOWN rows
         words = known["word"].to_numpy(np.int64).view(_U)
         order = np.argsort(words)
@@ -138,8 +145,9 @@ class Vocabulary:
         self.short[self.words == END] = 0
         mass = np.concatenate(([self.n_ends + ADD], self.c[chosen].astype(float)))
         self.word_share = mass / mass.sum()
-        self.n_classes = -(-len(mass) // CLASS_WORDS)
-        classes = np.concatenate((np.add.reduceat(mass, np.arange(0, len(mass), CLASS_WORDS)), self.tail_sums))
+        self.n_classes = int(np.ceil(np.sqrt(len(mass))))
+        begin = np.arange(0, len(mass), class_words(len(mass), self.n_classes))
+        classes = np.concatenate((np.add.reduceat(mass, begin), self.tail_sums))
         self.class_share = classes / classes.sum()
 
     def find(self, words, tails):
@@ -200,6 +208,7 @@ class Model:
     def log_probabilities(self, inputs, bounds, n_classes, chunk=1 << 14):
         """Natural logs of P(class) and, in the shortlist, P(word | class) added, per token."""
         p, n_short = self.parameters, len(self.parameters["words"])
+        width = class_words(n_short, n_classes)
         scaled = p["scales"][:, None, :] * p["inputs"][None]
         before = contexts(inputs, bounds, len(p["inputs"]) - 1)
         out = np.empty(len(inputs))
@@ -208,17 +217,17 @@ class Model:
             q = sum(scaled[j][ctx[:, j]] for j in range(CONTEXT))
             z = q @ p["classes"].T + p["class_bias"]
             top = z.max(1)
-            group = np.where(target < n_short, target // CLASS_WORDS, n_classes + target - n_short)
+            group = np.where(target < n_short, target // width, n_classes + target - n_short)
             found = z[np.arange(len(z)), group] - top - np.log(np.exp(z - top[:, None]).sum(1))
             order = np.argsort(group, kind="stable")
             ends = np.searchsorted(group[order], np.arange(n_classes + 1))
             for c in range(n_classes):
                 rows = order[ends[c] : ends[c + 1]]
                 if len(rows):
-                    of = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
+                    of = slice(c * width, (c + 1) * width)
                     z = q[rows] @ p["words"][of].T + p["word_bias"][of]
                     top = z.max(1)
-                    found[rows] += z[np.arange(len(rows)), target[rows] - c * CLASS_WORDS] - top - np.log(np.exp(z - top[:, None]).sum(1))
+                    found[rows] += z[np.arange(len(rows)), target[rows] - c * width] - top - np.log(np.exp(z - top[:, None]).sum(1))
             out[k : k + chunk] = found
         return out
 
@@ -268,12 +277,13 @@ class Trainer:
     def learn(self, inputs, before):
         v, p = self.vocabulary, self.model.parameters
         n_short = len(v.word_share)
+        width = class_words(n_short, v.n_classes)
         for k in range(0, len(inputs), BATCH):
             target, ctx = inputs[k : k + BATCH], before[k : k + BATCH]
             x = p["inputs"][ctx]
             q = (x * p["scales"]).sum(1)
             short = target < n_short
-            group = np.where(short, target // CLASS_WORDS, v.n_classes + target - n_short)
+            group = np.where(short, target // width, v.n_classes + target - n_short)
             slope = self._contrast(q, group, "classes", "class_bias", v.class_share, self.class_steps, CLASS_NOISE)
             if short.any():
                 slope[short] += self._contrast(q[short], target[short], "words", "word_bias", v.word_share, self.word_steps, WORD_NOISE)

@@ -78,6 +78,16 @@ def test_language_model_beats_the_base_on_held_out_texts(spark, small):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_shortlist_grows_with_the_vocabulary(spark):
+    """Every word above the least count has parameters; classes and their words are square-root-many."""
+    text = " ".join(f"w{k}" for k in range(12000))
+    docs = spark.createDataFrame([(k, text) for k in range(lm_scoring.LEAST_COUNT)] + [(9, "rare")], "doc_id long, text string")
+    vocabulary = lm_scoring.Vocabulary(lm_scoring.count(texts(docs)))
+    n = len(vocabulary.word_share)
+    assert (n, vocabulary.n_classes, lm_scoring.class_words(n, vocabulary.n_classes)) == (12001, 110, 110)
+    assert len(vocabulary.class_share) == 110 + lm_scoring.TAILS
+
+
 def test_training_sees_every_place(edges):
     plain = texts(edges)
     vocabulary = lm_scoring.Vocabulary(lm_scoring.count(plain))
