@@ -162,7 +162,7 @@ class Vocabulary:
             place[self.words[place] != words] = -1
         short = np.where(place >= 0, self.short[place], -1) if len(self.words) else place
         short = np.where(words == END, 0, short)
-        return place, np.where(short >= 0, short, n_short + tails)
+        return place, np.where(short >= 0, short, n_short + tails.astype(np.int32))
 
 
 def contexts(inputs, bounds, start):

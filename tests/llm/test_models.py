@@ -88,6 +88,12 @@ def test_shortlist_grows_with_the_vocabulary(spark):
     assert len(vocabulary.class_share) == 110 + lm_scoring.TAILS
 
 
+def test_tail_inputs_come_after_a_large_shortlist():
+    vocabulary = object.__new__(lm_scoring.Vocabulary)
+    vocabulary.words, vocabulary.word_share = np.zeros(0, np.uint64), np.ones(60000)
+    assert vocabulary.find(np.array([1], np.uint64), np.array([5], np.int16))[1].tolist() == [60005]
+
+
 def test_training_sees_every_place(edges):
     plain = texts(edges)
     vocabulary = lm_scoring.Vocabulary(lm_scoring.count(plain))
