@@ -10,7 +10,7 @@ from leadloom.llm.queries import QUERIES
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = set(queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= names and set(ORACLES) <= set(oracle_sql())
 
 
