@@ -9,6 +9,7 @@ from leadloom.functions import features as FE
 from leadloom.functions import grading as G
 from leadloom.functions import pickers as PK
 from leadloom.functions import text as TX
+from leadloom.operators import batches as BA
 from leadloom.operators import campaign as CA
 from leadloom.operators import collect as CO
 from leadloom.operators import contacts as CN
@@ -18,7 +19,7 @@ from leadloom.operators import report as RE
 from leadloom.operators import scoring as SC
 from leadloom.operators import sinks as SI
 from leadloom.plans import runs as RU
-from leadloom.session import scratch_path
+from leadloom.session import scratch_path, shared_dir
 from leadloom.sources import cards as CD
 from leadloom.sources import readers as RD
 from leadloom.sources import seeds as SE
@@ -666,9 +667,9 @@ def _fine_sql(limit):
     return S.with_views("eligible", "sent_log", f", {fine}, heads AS ({heads}) SELECT lead_seq, disposition FROM ({S.dispositions(limit)})")
 
 
-def _fine(spark, sf, limit):
+def _fine(spark, sf, limit, top_list=None):
     fine = eligible(spark, sf).withColumn("ml_score", F.expr(_FINE.replace("100000.0", "100000.0D")))
-    return CA.select_campaign(fine, log(spark, sf), limit).select("lead_seq", "disposition")
+    return CA.select_campaign(fine, log(spark, sf), limit, top_list=top_list).select("lead_seq", "disposition")
 
 
 @query("W04_fine_scores", _fine_sql(LIMIT))
@@ -681,6 +682,31 @@ def _(spark, sf):
     return _fine(spark, sf, CA.SMALL_LIMIT + 1)
 
 
+@query("W04_cut_by_counting", _fine_sql(3 * LIMIT))
+def _(spark, sf):
+    return _fine(spark, sf, 3 * LIMIT, top_list=0)
+
+
+# Every lead twice, and all under seven numbers.
+_TWICE = "SELECT * REPLACE (lead_seq % 7 AS lead_seq, {score} AS ml_score) FROM eligible UNION ALL SELECT * REPLACE (lead_seq % 7 AS lead_seq, {score} AS ml_score) FROM eligible"
+
+
+def _twice_sql():
+    twice = f"twice AS ({_TWICE.format(score=_FINE)})"
+    heads = (
+        "SELECT *, row_number() OVER (PARTITION BY email ORDER BY ml_score DESC, lead_seq) = 1 "
+        "AND email NOT IN (SELECT to_email FROM sent_log) AS fresh FROM twice"
+    )
+    return S.with_views("eligible", "sent_log", f", {twice}, heads AS ({heads}) SELECT lead_seq, email, disposition FROM ({S.dispositions(LIMIT)})")
+
+
+@query("W04_repeated_numbers", _twice_sql())
+def _(spark, sf):
+    fine = eligible(spark, sf).withColumn("ml_score", F.expr(_FINE.replace("100000.0", "100000.0D")))
+    alike = fine.withColumn("lead_seq", F.col("lead_seq") % 7)
+    return CA.select_campaign(alike.unionByName(alike), log(spark, sf), LIMIT).select("lead_seq", "email", "disposition")
+
+
 @query("W05_first_per_email", S.with_views("scored", "SELECT lead_seq, email FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ml_score DESC, lead_seq) AS n FROM scored WHERE email <> 'N/A') WHERE n = 1"))
 def _(spark, sf):
     return CA.first_per_email(LE.with_email(scored(spark, sf))).select("lead_seq", "email")
@@ -713,18 +739,18 @@ def _(spark, sf):
     return LE.union_sources(df.where("source = 'clutch'"), df.where("source <> 'justdial'"))
 
 
-_ENTRIES = f"""SELECT '2026-01-02 03:04:05' AS timestamp, email AS to_email, business_name, {S.template_subject('business_name')} AS subject,
- ml_score, ml_grade, 'dry_run' AS status FROM ({S.dispositions(LIMIT)}) WHERE disposition = 'selected'"""
+# Subjects of generated messages where there is one that can be read.
+_ENTRIES = f"""SELECT '2026-01-02 03:04:05' AS timestamp, email AS to_email, business_name, subject, ml_score, ml_grade, 'dry_run' AS status
+ FROM (SELECT *, {_PARSED} FROM ({S.dispositions(LIMIT)}) LEFT JOIN responses USING (lead_seq)) WHERE disposition = 'selected'"""
 
 
 def _entries(spark, sf):
     chosen = CA.select_campaign(eligible(spark, sf), log(spark, sf), LIMIT).where("disposition = 'selected'")
-    nothing = D.spark_responses(spark, sf).limit(0)
     at = F.lit("2026-01-02 03:04:05").cast("timestamp")
-    return CA.log_entries(CA.attach_messages(chosen, nothing, SENDER), at, "dry_run")
+    return CA.log_entries(CA.attach_messages(chosen, D.spark_responses(spark, sf), SENDER), at, "dry_run")
 
 
-@query("U02_join_log", S.with_views("heads", f"{_LOG_SQL} UNION ALL {_ENTRIES}"))
+@query("U02_join_log", S.with_views("heads", "responses", f"{_LOG_SQL} UNION ALL {_ENTRIES}"))
 def _(spark, sf):
     return CA.join_log(full_log(spark, sf), _entries(spark, sf))
 
@@ -864,7 +890,7 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("K03_append_log", S.with_views("heads", f"{_LOG_SQL} UNION ALL {_ENTRIES}"))
+@query("K03_append_log", S.with_views("heads", "responses", f"{_LOG_SQL} UNION ALL {_ENTRIES}"))
 def _(spark, sf):
     path = scratch_path(spark, "log")
     SI.append_log(full_log(spark, sf), path, "old")
@@ -873,7 +899,7 @@ def _(spark, sf):
     return RD.read_log(spark, path)
 
 
-@query("K03_append_to_plain_log", S.with_views("heads", f"{_LOG_SQL} UNION ALL {_ENTRIES}"))
+@query("K03_append_to_plain_log", S.with_views("heads", "responses", f"{_LOG_SQL} UNION ALL {_ENTRIES}"))
 def _(spark, sf):
     path = scratch_path(spark, "log")
     full_log(spark, sf).write.parquet(path)
@@ -881,6 +907,18 @@ def _(spark, sf):
     return RD.read_log(spark, path)
 
 
+@query("K03_staged_batch", S.with_views("sent_log", f"SELECT 'staged' AS step, * FROM ({_LOG_SQL}) UNION ALL SELECT 'committed', * FROM ({_LOG_SQL}) WHERE to_email < 'info@site3'"))
+def _(spark, sf):
+    """What a reader sees while a batch is being replaced, and after."""
+    path = scratch_path(spark, "log")
+    SI.append_log(full_log(spark, sf), path, "batch")
+    attempt = BA.stage(full_log(spark, sf).where("to_email < 'info@site3'"), path, "batch")
+    shared_dir(spark)
+    before = RD.read_log(spark, path).select(F.lit("staged").alias("step"), "*").checkpoint()
+    BA.commit(spark, path, "batch", attempt)
+    return before.unionByName(RD.read_log(spark, path).select(F.lit("committed").alias("step"), "*"))
+
+
 @query("K04_empty_writes_nothing", S.with_views("raw_leads", "SELECT false AS empty_written, true AS full_written, count(*) AS leads FROM raw_leads"))
 def _(spark, sf):
     df = raw(spark, sf)
@@ -911,15 +949,29 @@ def _(spark, sf):
     return spark.read.schema("business_name string").parquet(out)
 
 
+@query("T01_names_within_horizon", S.with_views("leads", "SELECT DISTINCT business_name FROM leads"))
+def _(spark, sf):
+    """All rows lie within the horizon, so each name still comes once."""
+    out, stream = scratch_path(spark, "names"), _arriving(spark, sf).withColumn("at", F.timestamp_seconds(F.col("lead_seq")))
+    run = (
+        LI.distinct_names(stream, "at", "10000 days").select("business_name").writeStream.format("parquet")
+        .option("path", out).option("checkpointLocation", scratch_path(spark, "names-state"))
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.schema("business_name string").parquet(out)
+
+
 @query("T02_outreach", S.with_views("eligible", "sent_log", "SELECT DISTINCT email AS to_email, 'dry_run' AS status FROM eligible WHERE email NOT IN (SELECT to_email FROM sent_log)"))
 def _(spark, sf):
-    """All leads arrive at once, then one more at a time; a limit of a third reaches all in the end."""
+    """Leads arrive in several batches, then all of them again under other numbers; with a limit of a third
+    of the addresses, each gets one message in the end."""
     path, arriving = scratch_path(spark, "stream-log"), scratch_path(spark, "arriving")
     SI.append_log(full_log(spark, sf), path, "before")
     limit = -(-CA.fresh_leads(eligible(spark, sf), log(spark, sf)).count() // 3)
-    raw(spark, sf).coalesce(1).write.parquet(arriving)
-    for _ in range(3):
-        raw(spark, sf).limit(1).write.mode("append").parquet(arriving)
+    again = raw(spark, sf).withColumn("lead_seq", F.col("lead_seq") % 100)
+    for rows, files in ((raw(spark, sf), 2), (again, 3)):
+        rows.repartition(files, "business_name").write.mode("append").parquet(arriving)
     stream = spark.readStream.schema(spark.read.parquet(arriving).schema).option("maxFilesPerTrigger", 1).parquet(arriving)
     run = (
         LI.outreach(stream, SC.rule_scored, path, SENDER, limit=max(1, limit))

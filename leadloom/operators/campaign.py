@@ -10,6 +10,7 @@ from leadloom.functions.text import log_time, parse_message, present, template
 from leadloom.operators.leads import first_per, with_email
 from leadloom.operators.ranking import nth_smallest
 from leadloom.schemas import SENT_LOG
+from leadloom.session import shared_dir
 from leadloom.sources.readers import read_responses
 
 # Largest limit whose chosen rows are sent to every task.
@@ -52,7 +53,7 @@ def campaign_funnel(scored, lowest=V.DEFAULT_MIN_GRADE):
     )
 
 
-def select_campaign(eligible, log, limit=V.DAILY_LIMIT, outcome=None):
+def select_campaign(eligible, log, limit=V.DAILY_LIMIT, outcome=None, top_list=None):
     """Each eligible lead with its ``disposition``.
 
     Walking best first, fresh leads are ``selected`` until ``limit`` of them succeeded and
@@ -60,33 +61,40 @@ def select_campaign(eligible, log, limit=V.DAILY_LIMIT, outcome=None):
     ``outcome`` names a column with the send status per lead; a lead with ``failed`` is
     handled but does not use up the limit. Without it every fresh lead succeeds.
 
-    Only the place of the last success is needed, so no total order is computed: rows
-    before it that were not handled are the skipped ones. ``eligible`` is read up to three
-    times; keep it in a table or persist it if it is costly to compute.
+    Verdicts belong to rows, not to ``lead_seq``: of the rows of an address exactly one is handled,
+    also where rows are repeated or sources number their leads alike. Rows of the same score and
+    ``lead_seq`` follow each other by a hash of their values.
+
+    The rows are written to the shared folder once, numbered. Only the place of the last success is
+    needed, so no total order is computed: rows before it that were not handled are the skipped ones. It
+    is found by a top list up to a limit of ``top_list`` (SMALL_LIMIT by default), and by counting beyond.
     """
     if limit <= 0:
         return eligible.withColumn("disposition", F.lit("beyond_limit"))
-    keep = ["lead_seq", "ml_score", "email", *([outcome] if outcome else [])]
-    fresh = fresh_leads(eligible.select(*keep), log)
-    done = fresh.where(F.col(outcome) != "failed") if outcome else fresh
-    if limit <= SMALL_LIMIT:
-        chosen = done.orderBy(_worse(), "lead_seq").limit(limit)
-        cut = chosen.agg(F.when(F.count("*") == limit, F.max(_place())).alias("cut")).scalar()
+    shared_dir(eligible.sparkSession)
+    small = limit <= (SMALL_LIMIT if top_list is None else top_list)
+    columns = eligible.columns
+    rows = eligible.withColumns({"_at": place(eligible), "_row": F.monotonically_increasing_id()}).checkpoint()
+    status = F.col(outcome) if outcome else F.lit(None).cast("string")
+    # One row per address, combined before the exchange, so that no address is hot in the joins.
+    firsts = rows.groupBy("email").agg(F.min(F.struct("_at", "_row", status.alias("status"))).alias("first"))
+    fresh = suppress(firsts, log).select("first._at", "first._row", "first.status")
+    done = fresh.where(F.col("status").isNull() | (F.col("status") != "failed")) if outcome else fresh
+    order = ["_at", "_row"]
+    if small:
+        chosen = done.orderBy(*order).limit(limit)
+        cut = chosen.agg(F.when(F.count("*") == limit, F.max(F.struct(*order)))).scalar()
     else:
         cut = _far_cut(done, limit)
-    handled = F.broadcast(chosen) if limit <= SMALL_LIMIT and not outcome else fresh
-    handled = handled.select("lead_seq", F.lit(True).alias("_fresh"))
-    beyond = F.coalesce(_place() > cut, F.lit(False))
-    result = F.lit("selected")
-    if outcome:
-        result = F.when(F.col(outcome) == "failed", "failed").otherwise(result)
+    # Without failures the handled rows are the chosen ones, of which there are at most ``limit``.
+    handled = F.broadcast(chosen) if small and not outcome else fresh
+    handled = handled.select("_row", F.lit(True).alias("_fresh"))
+    beyond = F.coalesce(F.struct(*order) > cut, F.lit(False))
+    result = F.when(F.col(outcome) == "failed", "failed").otherwise("selected") if outcome else F.lit("selected")
     return (
-        eligible.join(handled, "lead_seq", "left")
-        .withColumn(
-            "disposition",
-            F.when(beyond, "beyond_limit").when(F.col("_fresh"), result).otherwise("skipped"),
-        )
-        .select(*eligible.columns, "disposition")
+        rows.join(handled, "_row", "left")
+        .withColumn("disposition", F.when(beyond, "beyond_limit").when(F.col("_fresh"), result).otherwise("skipped"))
+        .select(*columns, "disposition")
     )
 
 
@@ -95,23 +103,27 @@ def _worse():
     return F.coalesce(-F.col("ml_score").cast("double"), F.lit(sys.float_info.max))
 
 
-def _place():
-    """Order of a walk, best first."""
-    return F.struct(_worse().alias("s"), F.col("lead_seq").alias("q"))
+def place(leads):
+    """Order of a walk, best first: score, number, and the other values in some fixed order."""
+    values = F.xxhash64(*[F.col(name) for name, kind in leads.dtypes if "map<" not in kind])
+    return F.struct(_worse().alias("s"), F.col("lead_seq").cast("bigint").alias("q"), values.alias("v"))
 
 
 def _far_cut(done, limit):
-    """Place of the ``limit``-th lead without sorting, for limits too large for a top list."""
-    places = done.select("lead_seq", _worse().alias("worse")).persist()
+    """Place and row of the ``limit``-th lead without sorting, for limits too large for a top list."""
+    kept = done.select("_at.s", "_at.q", "_at.v", F.col("_row").alias("r")).persist()
     try:
-        last = nth_smallest(places, "worse", limit)
-        if last is None:
-            return F.lit(None).cast("struct<s:double,q:bigint>")
-        better = places.where(F.col("worse") < last).count()
-        seq = nth_smallest(places.where(F.col("worse") == last), "lead_seq", limit - better)
-        return F.struct(F.lit(last).alias("s"), F.lit(seq).cast("bigint").alias("q"))
+        rows, left, cut = kept, limit, {}
+        for part in ("s", "q", "v", "r"):
+            cut[part] = nth_smallest(rows, part, left)
+            if cut[part] is None:
+                return F.lit(None).cast("struct<_at:struct<s:double,q:bigint,v:bigint>,_row:bigint>")
+            left -= rows.where(F.col(part) < cut[part]).count()
+            rows = rows.where(F.col(part) == cut[part])
+        at = F.struct(F.lit(cut["s"]).alias("s"), *[F.lit(cut[c]).cast("bigint").alias(c) for c in ("q", "v")])
+        return F.struct(at.alias("_at"), F.lit(cut["r"]).cast("bigint").alias("_row"))
     finally:
-        places.unpersist()
+        kept.unpersist()
 
 
 def campaign_tally(dispositions):

@@ -9,6 +9,8 @@ from leadloom.session import shared_dir
 # Slices counted per pass, and the slice size that is simply read out.
 _FAN = 1 << 16
 _READ_OUT = 100_000
+# Places up to which a top list finds a value in one job.
+_TOP = 10_000
 
 
 def nth_smallest(df, column, n):
@@ -20,12 +22,29 @@ def nth_smallest(df, column, n):
     counts reaches the driver and no row is moved; a slice with few rows is read out. A value's
     slice never decreases with the value, which is all that the counts need.
     """
-    df = df.where(F.col(column).isNotNull())
-    rows, low, high = df.agg(F.count(column), F.min(column), F.max(column)).first()
-    n = n(rows) if callable(n) else n
-    if n < 1 or rows < n:
+    (bounds,) = value_bounds(df, [column])
+    n = n(bounds[0]) if callable(n) else n
+    if n < 1 or bounds[0] < n:
         return None
-    left, inside = n, df
+    return nth_within(df, column, n, bounds)
+
+
+def value_bounds(df, columns):
+    """``(values, least, greatest)`` of each column, from one pass over all of them."""
+    found = df.agg(*[f(c) for c in columns for f in (F.count, F.min, F.max)]).first()
+    return [tuple(found[k : k + 3]) for k in range(0, len(found), 3)]
+
+
+def nth_within(df, column, n, bounds):
+    """As :func:`nth_smallest`, where ``bounds`` are those of these values or of more."""
+    rows, low, high = bounds
+    if rows < n:
+        return None
+    inside = df.where(F.col(column).isNotNull())
+    if n <= min(_TOP, _READ_OUT):
+        found, last = inside.select(column).orderBy(column).limit(n).agg(F.count(column), F.max(column)).first()
+        return last if found == n else None
+    left = n
     while low < high and rows > _READ_OUT:
         slice_of = F.least(F.floor(_above(column, low, high) * (_FAN / (high - low))), F.lit(_FAN - 1)).cast("int")
         sliced = inside.withColumn("_slice", slice_of)
@@ -34,11 +53,12 @@ def nth_smallest(df, column, n):
             if rows >= left:
                 break
             left -= rows
+        else:
+            return None
         low, high = least, most
-        inside = df.where(once(column, lambda v: v.between(low, high)))
-    if low == high:
-        return low
-    return inside.select(column).orderBy(column).limit(left).agg(F.max(column)).first()[0]
+        inside = inside.where(once(column, lambda v: v.between(low, high)))
+    found, last = inside.select(column).orderBy(column).limit(left).agg(F.count(column), F.max(column)).first()
+    return last if found == left else None
 
 
 def _above(column, low, high):

@@ -1,8 +1,8 @@
 """Writers. An empty table writes nothing."""
 
 import uuid
-from urllib.parse import quote
 
+from leadloom.operators.batches import write_batch
 from leadloom.operators.leads import clean_leads, dedupe_leads, export_columns
 
 
@@ -31,9 +31,10 @@ def write_scored(df, path, file_format="csv", mode="overwrite"):
 def append_log(entries, path, batch_id=None):
     """Add one batch to the log at ``path``; what the log holds already stays readable.
 
-    Each batch has its own folder. Writing the same batch again replaces it, so a step
-    that is repeated after a failure does not log anything twice.
+    A batch appears whole, in one step (see :mod:`leadloom.operators.batches`). Writing the same batch
+    again replaces it, likewise in one step, so a step that is repeated after a failure does not log
+    anything twice, and its addresses never look unwritten in between.
     """
     batch_id = batch_id or uuid.uuid4().hex
-    entries.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={quote(str(batch_id), safe='')}")
+    write_batch(entries, path, batch_id)
     return batch_id

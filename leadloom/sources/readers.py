@@ -1,12 +1,10 @@
 """Readers with fixed schemas."""
 
-from urllib.parse import quote
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
+from leadloom.operators.batches import read_batches
 from leadloom.schemas import CONTACT_PAYLOAD, LEAD, LEAD_TEXT, SENT_LOG
 
 LOG_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SENT_LOG)
@@ -62,18 +60,11 @@ def read_contacts(payloads):
 def read_log(spark, path, skip_batch=None):
     """Send log, empty if it does not exist yet. ``skip_batch`` leaves one batch out.
 
-    Files that lie at the path itself belong to no batch and are read as well.
+    Batches that were not committed, or have been replaced, are not seen. Files that lie at the path
+    itself belong to no batch and are read as well.
     """
-    try:
-        log = spark.read.schema(LOG_DDL).option("recursiveFileLookup", True).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], SENT_LOG)
-    if skip_batch is not None:
-        folder = F.regexp_extract("_metadata.file_path", "/batch_id=([^/]*)/[^/]*$", 1)
-        log = log.where(F.url_decode(folder) != quote(str(skip_batch), safe=""))
-    return log.select(SENT_LOG.fieldNames())
+    log = read_batches(spark, path, LOG_DDL, skip=skip_batch)
+    return spark.createDataFrame([], SENT_LOG) if log is None else log.select(SENT_LOG.fieldNames())
 
 
 def read_responses(df, text="response"):

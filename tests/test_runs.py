@@ -137,20 +137,6 @@ def test_names_of_a_stream_equal_batch(spark, leads, tmp_path):
     assert sorted(got) == sorted(r.business_name for r in leads.select("business_name").distinct().collect())
 
 
-def test_replayed_batch_adds_no_log_rows(spark, leads, tmp_path):
-    path, captured = str(tmp_path / "log"), {}
-    leads.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(leads.schema).parquet(str(tmp_path / "in"))
-    writer = LI.outreach(stream, SC.rule_scored, path, SENDER, limit=4)
-    run = writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    before = sorted(r.to_email for r in RD.read_log(spark, path).collect())
-    again = LI.outreach(stream, SC.rule_scored, path, SENDER, limit=4)
-    run = again.option("checkpointLocation", str(tmp_path / "lost-state")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert len(before) == 4 and sorted(r.to_email for r in RD.read_log(spark, path).collect()) == before
-
-
 def test_campaign_run_logs_failures_without_using_the_limit(spark, leads, tmp_path):
     path = str(tmp_path / "log")
     scored = SC.rule_scored(leads).withColumn("status", F.when(F.col("lead_seq") % 2 == 0, "failed").otherwise("sent"))
