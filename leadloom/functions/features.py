@@ -67,12 +67,14 @@ def category_score(name, category):
 
 
 # Decimal digits of any script, and the other characters that count as digits: raised, lowered,
-# circled, bracketed and dotted ones and those of scripts without decimal digits.
+# circled, bracketed and dotted ones and those of scripts without decimal digits. The last line has the
+# decimal digits of scripts that the pattern's own tables may be too old for.
 DIGITS = (
     r"\p{Nd}\u00b2\u00b3\u00b9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089"
     r"\u2460-\u2468\u2474-\u247c\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff"
     r"\u2776-\u277e\u2780-\u2788\u278a-\u2792"
     r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
+    r"\x{11f50}-\x{11f59}\x{16ac0}-\x{16ac9}\x{1e4f0}-\x{1e4f9}"
 )
 
 

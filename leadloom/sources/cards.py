@@ -6,7 +6,7 @@ expressions in :mod:`leadloom.functions.pickers`.
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
@@ -74,37 +74,44 @@ def extract_cards(pages, site, parts=None):
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for page_id, html in zip(batch["page_id"], batch["html"]):
+            page_ids, places = [], []
+            values, ends = [[] for _ in CARD_FIELDS], [[0] for _ in CARD_FIELDS]
+            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 page = Page(html or "")
                 for pos, inside in enumerate(_card_ranges(page, cards)):
-                    found = [_candidates(page, inside, fields[f], take[f]) for f in CARD_FIELDS]
-                    rows.append((page_id, pos, *found))
-            yield pd.DataFrame(rows, columns=CARD.fieldNames())
+                    page_ids.append(page_id)
+                    places.append(pos)
+                    for f, have, end in zip(CARD_FIELDS, values, ends):
+                        have += _candidates(page, inside, fields[f], take[f])
+                        end.append(len(have))
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, pa.string())) for v, e in zip(values, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(page_ids, pa.int64()), pa.array(places, pa.int32()), *lists], CARD.fieldNames())
 
     wanted = pages.where(_may_hold(site, "cards")).select("page_id", "html")
     wanted = wanted.repartition(parts) if parts else wanted
-    return wanted.mapInPandas(run, CARD)
+    return wanted.mapInArrow(run, CARD)
 
 
 def listing_links(pages, site):
     """Links ``(page_id, link_pos, href)`` to detail pages; a later rule only if earlier ones find none."""
+    ship(pages.sparkSession)
     rules = [compile_selector(s) for s in site["links"]]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for page_id, html in zip(batch["page_id"], batch["html"]):
+            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 page = Page(html or "")
                 everything = range(len(page.tags))
                 hits = next((h for h in ([e for e in everything if page.matches(e, r)] for r in rules) if h), [])
                 rows += [(page_id, i, page.attrs[e].get("href", "")) for i, e in enumerate(hits)]
-            yield pd.DataFrame(rows, columns=["page_id", "link_pos", "href"])
+            kinds = {"page_id": pa.int64(), "link_pos": pa.int32(), "href": pa.string()}
+            yield pa.RecordBatch.from_pylist([dict(zip(kinds, row)) for row in rows], pa.schema(list(kinds.items())))
 
     return (
         pages.where(_may_hold(site, "links"))
         .select("page_id", "html")
-        .mapInPandas(run, "page_id BIGINT, link_pos INT, href STRING")
+        .mapInArrow(run, "page_id BIGINT, link_pos INT, href STRING")
     )
 
 
