@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.components import components
 from leadloom.llm.spans import BETWEEN_SPACES, hashes, mix, shingles, slices, text_column, word_ranges
-from leadloom.llm.tables import row_key, stored, texts
+from leadloom.llm.tables import row_key, stored, texts, unused
 
 PERCENT = 80
 BANDS, ROWS = 40, 5
@@ -294,20 +294,24 @@ def near_duplicates(docs: DataFrame, size=5, percent=PERCENT, **blocks) -> DataF
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and text are not among the stored ``dropped`` keys."""
-    return docs.join(dropped.select(F.col("key").alias("_dropped")), row_key() == F.col("_dropped"), "left_anti")
+    key = unused("dropped", docs)
+    return docs.join(dropped.select(F.col("key").alias(key)), row_key() == F.col(key), "left_anti")
 
 
 def one_of_each(docs: DataFrame, size=5, percent=PERCENT, **blocks) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group one row stays, which has its smallest id
-    (NULL is the largest) and of those the text that hashes lowest. Rows without a near text stay,
-    whatever their id."""
+    (NULL is the largest) and of those the text that hashes lowest; of rows with the same id and text, the one
+    whose other values hash lowest, maps apart. Rows without a near text stay, whatever their id. Columns may
+    have any name and kind."""
     groups = stored(near_groups(docs, size, percent, **blocks).where("n_shingles > 0").select("key", "chosen"), "near-kept")
     left = without_rows(docs, stored(groups.where(~F.col("chosen")).select("key").distinct(), "near-dropped"))
+    key = unused("key", docs)
     repeated = groups.where("chosen").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = stored(repeated.select(F.col("key").alias("_key")), "near-repeated")
+    repeated = stored(repeated.select(F.col("key").alias(key)), "near-repeated")
     if repeated.isEmpty():
         return left
-    again = left.join(repeated, row_key() == F.col("_key"), "left_semi")
-    single = left.join(repeated, row_key() == F.col("_key"), "left_anti")
-    order = F.struct(*docs.columns)
-    return single.unionAll(again.groupBy(row_key().alias("_key")).agg(F.min(order).alias("_least")).select("_least.*"))
+    again = left.join(repeated, row_key() == F.col(key), "left_semi")
+    single = left.join(repeated, row_key() == F.col(key), "left_anti")
+    values = F.xxhash64(*[F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind])
+    least = again.groupBy(row_key().alias(key)).agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), values).alias("least"))
+    return single.unionAll(least.select("least.*"))

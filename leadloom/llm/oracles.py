@@ -57,14 +57,14 @@ windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS times FR
 repeats AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM windows, unnest(range(i, i + 3)) AS x(p) WHERE times > 1 GROUP BY doc_id),
 measured AS (
-  SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  SELECT doc_id, stratum, md5(t) AS text_key, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
     coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines FROM docs LEFT JOIN repeats USING (doc_id)),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 cells AS (SELECT * FROM (VALUES {cells}) AS v(rule, cutoff)),
 tested AS (
   SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER ({measure} > cutoff) AS k
-  FROM measured SEMI JOIN good USING (doc_id), cells GROUP BY ALL),
+  FROM (SELECT DISTINCT ON (stratum, text_key) * FROM measured SEMI JOIN good USING (doc_id)), cells GROUP BY ALL),
 judged AS (
   SELECT *, CASE WHEN k > n * {share} THEN 1 ELSE list_sum([
     exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})) for i in range(0, k + 1)]) END AS p

@@ -12,12 +12,14 @@ layer is trained on the non-negative unbiased risk
 with the logistic loss, so that the output is a probability. Where the second part falls below zero,
 the step undoes it.
 
-Training uses at most ``POSITIVES`` and ``UNLABELLED`` rows in expectation, chosen by a hash of the id.
-Scoring passes over all texts once, without a shuffle.
+Training uses at most ``POSITIVES`` labels and ``UNLABELLED`` texts, chosen by a hash: of the id for labels, of id
+and text for unlabelled ones, so that ids which many rows share, or no id, neither fill the sample nor stay
+outside it. Scoring passes over all texts once, without a shuffle.
 
 Defined cases: a NULL or empty text is all zeros and is scored like any other. NULL labels are no
-labels; a document with several labels is good if all say so. Without positives every score is
-0.5. Repeated rows are scored one by one; other columns are not read.
+labels; a document with several labels is good if all say so, and of several texts with its id the one that
+hashes lowest is learnt from. Without positives every score is 0.5. Repeated rows are scored one by one, and
+are learnt from once; other columns are not read.
 """
 
 import numpy as np
@@ -33,6 +35,7 @@ POSITIVES = 6000
 UNLABELLED = 12000
 THRESHOLD = 0.5
 HIDDEN = 32
+ROWS = 4096  # rows that are taken to full precision at once
 
 
 def _kinds():
@@ -106,8 +109,8 @@ def _described(batches):
         for first, part, places in slices(data, offsets):
             rows = [row.tobytes() for row in describe(part, places).astype(np.float16)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, len(rows)), batch.column("good").slice(first, len(rows)), pa.array(rows, pa.binary())],
-                ["doc_id", "good", "row"],
+                [batch.column("doc_id").slice(first, len(rows)), batch.column("key").slice(first, len(rows)), pa.array(rows, pa.binary())],
+                ["doc_id", "key", "row"],
             )
 
 
@@ -117,16 +120,27 @@ def samples(docs: DataFrame, labels: DataFrame, positives=POSITIVES, unlabelled=
     known = stored(known, "good-labels")
     plain = texts(docs)
     n_good, n_all = known.count(), plain.count()
-    drawn = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(drawn("good") < positives / max(n_good, 1)).withColumn("good", F.lit(True))
+    drawn = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / float(1 << 30)
+    chosen = known.where(drawn("doc_id", F.lit("good")) < positives / max(n_good, 1))
     # The chosen labels are ``positives`` rows in expectation, whatever the number of labels.
-    good = plain.join(F.broadcast(chosen), "doc_id")
-    other = plain.where(drawn("web") < unlabelled / max(n_all, 1)).withColumn("good", F.lit(False))
-    rows = good.unionByName(other).mapInArrow(_described, "doc_id long, good boolean, row binary").toPandas()
-    rows = rows.sort_values(["good", "doc_id"], kind="stable")
-    table = np.frombuffer(b"".join(rows["row"]), np.float16).reshape(len(rows), WIDTH).astype(np.float32)
-    is_good = rows["good"].to_numpy(bool)
-    return table[is_good], table[~is_good]
+    good = plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("row"))
+    other = plain.withColumn("key", drawn("doc_id", "text", F.lit("web"))).where(F.col("key") < unlabelled / max(n_all, 1))
+    sets = [
+        (good.select("doc_id", drawn("doc_id", F.lit("good")).alias("key"), "row.text"), positives),
+        (other.dropDuplicates(["doc_id", "key"]), unlabelled),
+    ]
+    return tuple(_gathered(rows.mapInArrow(_described, "doc_id long, key double, row binary"), bound) for rows, bound in sets)
+
+
+def _gathered(rows, bound):
+    """The rows in the order of their keys as an array of half precision, at most ``bound`` of them."""
+    found = rows.toArrow()
+    order = pa.compute.sort_indices(found, [("key", "ascending"), ("doc_id", "ascending")])[:bound]
+    table = np.empty((len(order), WIDTH), np.float16)
+    column = found.column("row").combine_chunks()
+    for to, k in enumerate(order.to_numpy()):
+        table[to] = np.frombuffer(column[k].as_buffer(), np.float16)
+    return table
 
 
 class Network:
@@ -141,7 +155,9 @@ class Network:
         return [self.a, self.b, self.c, self.d]
 
     def logits(self, x):
-        return np.tanh(x @ self.a + self.b) @ self.c + self.d[0]
+        parts = [x[k : k + ROWS].astype(np.float32) for k in range(0, len(x), ROWS)]
+        found = [np.tanh(part @ self.a + self.b) @ self.c + self.d[0] for part in parts]
+        return np.concatenate([*found, np.zeros(0, np.float32)])
 
     def gradient(self, x, slope):
         """The gradient for inputs of which each has the given slope of the loss by its logit."""
@@ -165,7 +181,7 @@ def _train(network, positive, unlabelled, slopes, epochs, seed, batch=512, rate=
             if not len(p) or not len(u):
                 continue
             t += 1
-            x = np.concatenate((positive[p], unlabelled[u]))
+            x = np.concatenate((positive[p], unlabelled[u])).astype(np.float32)
             z = network.logits(x)
             slope = slopes(z[: len(p)], z[len(p) :]).astype(np.float32)
             for w, g, (m, v) in zip(network.parameters(), network.gradient(x, slope), state):

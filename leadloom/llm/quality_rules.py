@@ -14,7 +14,8 @@ stored counts.
 
 Defined cases: a NULL or empty text has no words, all counts 0 and fails the base rules. A NULL
 language is a stratum of its own. A document with several labels is good if all say so; a NULL
-quality is no label. Repeated rows are measured and judged one by one. Other columns are not read.
+quality is no label. Repeated rows are measured and judged one by one, and equal good texts of a stratum are one
+trial. Other columns are not read.
 """
 
 import re
@@ -75,7 +76,7 @@ def repeated_words(words):
 
 
 def measures(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
-    """``keep`` and the counts of each text, with the number of lines that have words."""
+    """``keep``, the counts of each text, with the number of lines that have words, and its ``text_key``, a hash."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def all_counts(t):
@@ -96,7 +97,7 @@ def measures(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
             F.regexp_count(t, F.lit(f"[{re.escape(SYMBOLS)}]")).cast("long").alias("n_symbols"),
         )
 
-    counted = docs.select(*keep, once(text, all_counts).alias("_m"))
+    counted = docs.select(*keep, F.xxhash64(text).alias("text_key"), once(text, all_counts).alias("_m"))
     return counted.select(
         *counted.columns[:-1], "_m.w.n_words", "_m.w.word_chars", "_m.n_symbols", "_m.l.n_dup_lines", "_m.w.n_repeat_words", "_m.l.n_lines"
     )
@@ -138,7 +139,10 @@ def binomial_tail(n, k, share):
 
 
 def tests(measured: DataFrame, labels: DataFrame, max_false_rejection=MAX_FALSE_REJECTION) -> DataFrame:
-    """``(stratum, rule, cutoff, n, k, p_value)`` for each rule, cut-off and stratum with good texts."""
+    """``(stratum, rule, cutoff, n, k, p_value)`` for each rule, cut-off and stratum with good texts.
+
+    The bounds hold for independent trials, so a text counts once in a stratum, however many copies of it are labelled.
+    """
     good = (
         labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     )
@@ -149,7 +153,9 @@ def tests(measured: DataFrame, labels: DataFrame, max_false_rejection=MAX_FALSE_
         for cut in cuts
     ]
     cells = (
-        measured.join(good, "doc_id", "left_semi")
+        measured.select("doc_id", "stratum", "text_key", *COUNTS, "n_lines")
+        .join(good, "doc_id", "left_semi")
+        .dropDuplicates(["stratum", "text_key"])
         .groupBy("stratum")
         .agg(F.count("*").alias("n"), F.array(*over).alias("cells"))
         .select("stratum", "n", F.inline("cells"))

@@ -24,6 +24,14 @@ def row_key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A name that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: the lineage ends there, a lost
     executor costs no recomputation, and the planner knows the size."""

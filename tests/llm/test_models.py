@@ -205,7 +205,7 @@ def test_cutoffs_are_the_strictest_that_hold(spark):
     """One language with enough good texts, one with too few; bad symbols at a known share."""
     rows = [(k, "en" if k < 6000 else "de", 10 if k % 1000 == 0 else 0, 1) for k in range(6300)]
     docs = spark.createDataFrame(rows, "doc_id long, stratum string, n_symbols long, quality int")
-    measured = docs.selectExpr("doc_id", "stratum", "n_symbols", "100L n_words", "500L word_chars", "0L n_dup_lines", "0L n_repeat_words", "10L n_lines")
+    measured = docs.selectExpr("doc_id", "stratum", "doc_id text_key", "n_symbols", "100L n_words", "500L word_chars", "0L n_dup_lines", "0L n_repeat_words", "10L n_lines")
     labels = docs.select("doc_id", "quality")
     found = {r["stratum"]: r for r in quality_rules.cutoffs(measured, labels).collect()}
     # 6 of 6000 have 2 % symbols or less than the next cut-off: p is far below 0.05 / 54 at every cut-off.
@@ -218,6 +218,52 @@ def test_cutoffs_are_the_strictest_that_hold(spark):
             assert (r["p_value"] * m <= 0.05) == (r["stratum"] == "en")
 
 
+def test_copies_of_a_good_text_are_one_trial(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, text, "en") for k in range(6000)] + [(6000, text + " %", "en"), (6001, text, "de")], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 quality")
+    columns = [docs["doc_id"], docs["lang"].alias("stratum")]
+    found = quality_rules.tests(quality_rules.measures(docs, columns), labels).collect()
+    assert {(r["stratum"], r["n"]) for r in found} == {("en", 2), ("de", 1)}
+    cuts = quality_rules.cutoffs(quality_rules.measures(docs, columns), labels).collect()
+    assert all(r[f"cut_{rule}"] is None for r in cuts for rule in quality_rules.RULES)
+
+
+def test_rules_with_accepted_cutoffs_equal_sql(spark, tmp_path, monkeypatch):
+    """Enough good texts in two languages for cut-offs to be accepted, few in a third."""
+    from checks import compare
+    from leadloom.llm.oracles import ORACLES
+    from leadloom.llm.queries import QUERIES
+
+    words = " ".join(f"w{k % 50}" for k in range(50))
+    bad = ["#" * 40, "same\n" * 30, "a b c " * 20, "x" * 900, ""]
+    rows = [(k, f"{words} {k} {bad[k % 5] if k % 500 < 5 else ''}", ("de", "en")[k % 2] if k % 20 else "fr", "s", 1) for k in range(8000)]
+    rows += [(k, words, "en", "s", 1) for k in range(8000, 8100)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 500 >= 3), 0) for k in range(8100)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    con = compare.duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    monkeypatch.setitem(compare.QUERIES, "rules", QUERIES["op9_quality_rules"])
+    monkeypatch.setitem(compare.ORACLES, "rules", ORACLES["op9_quality_rules"])
+    assert compare.differences(spark, con, folder, "rules") is None
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    judged = quality_rules.judge(docs, labels)
+    cuts = {r["stratum"] for r in judged.where("cut_symbol_share is not null").select("stratum").distinct().collect()}
+    assert cuts == {"en", "de"} and judged.where("rule_failed is not null").count() > 0
+
+
+def test_samples_are_bounded_by_row(spark):
+    """One id, and no id, hold most rows; both take part and neither fills the sample."""
+    rows = [(7, f"hot {k}") for k in range(900)] + [(None, f"none {k}") for k in range(900)] + [(8, "copy")] * 900 + [(k, f"t {k}") for k in range(10, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, 1) for k in [7, 8, *range(10, 40)]] + [(None, 1)], "doc_id long, quality int")
+    positive, unlabelled = quality_pu.samples(docs, labels, positives=1000, unlabelled=500)
+    assert len(positive) == 32 and 250 < len(unlabelled) < 450
+    assert all(len(s) <= n for s, n in zip(quality_pu.samples(docs, labels, positives=10, unlabelled=100), (10, 100)))
+
+
 def test_pipeline_against_plain_steps(spark, small):
     import corpus_pipeline
     from leadloom.llm import prefix_bpe
@@ -254,8 +300,10 @@ def test_pipeline_stages_keep_columns_and_take_edge_cases(spark, edges, nothing,
     import corpus_pipeline
 
     small = "/root/testdata/sf0.001"
+    clashing = ["_dropped", "_key", "_least", "_row", "dropped", "key", "least", "text_key", "good", "score"]
+    odd = edges.selectExpr("*", "map('a', doc_id) as m", *[f"n_words as `{c}`" for c in clashing])
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        for docs in (edges, nothing):
+        for docs in (edges, odd, nothing):
             out = stage(spark, docs, small)
             assert out.columns == docs.columns and out.count() <= docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, nothing, small).collect() == []
