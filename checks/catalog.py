@@ -854,11 +854,49 @@ def _(spark, sf):
     return SC.grade_leads(labelled(spark, sf).select("lead_seq", "rule_score"), "rule_score").drop("rule_score")
 
 
+_RETRAINED = {}
+
+
+def retrained_model(spark, sf):
+    """The model of the leads with feedback; fitted once per session and folder for the queries that look at it."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _RETRAINED:
+        _RETRAINED[key] = SC.retrain(leads(spark, sf), D.spark_feedback(spark, sf), TREES)
+    return _RETRAINED[key]
+
+
 @query("M09_retrain")
 def _(spark, sf):
     df = leads(spark, sf)
-    trained = SC.retrain(df, D.spark_feedback(spark, sf), TREES)
-    return SC.grade_summary(SC.score(df, trained.model, ordered=False))
+    _RETRAINED.pop((spark.sparkContext.applicationId, sf), None)
+    return SC.grade_summary(SC.score(df, retrained_model(spark, sf).model, ordered=False))
+
+
+_CHANGED = f"SELECT f.label, f.label <> l.label AS changed FROM ({_FED}) f JOIN labelled l USING (lead_seq)"
+
+
+@query(
+    "M09_learns_feedback",
+    S.with_views("labelled", "feedback", " UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) AS support, count(*) FILTER (changed) AS changed, true AS learnt FROM ({_CHANGED}) WHERE label = {label}"
+        for label, name in V.CLASS_NAMES.items()
+    )),
+)
+def _(spark, sf):
+    """Labels after feedback by class, from the retrained model's report; of the leads that feedback
+    changed, no class has fewer that follow it now than under the model without feedback, and both together have more."""
+    rows = labelled(spark, sf)
+    fed = SC.apply_feedback(rows, D.spark_feedback(spark, sf))
+    new, old = (m.model.transform(fed).select("lead_seq", "label", "prediction") for m in (retrained_model(spark, sf), trained_model(spark, sf)))
+    both = new.join(old.select("lead_seq", F.col("prediction").alias("before")), "lead_seq")
+    both = both.join(rows.select("lead_seq", F.col("label").alias("rule")), "lead_seq").withColumn("changed", F.col("label") != F.col("rule"))
+    follow = lambda column: F.count_if(F.col("changed") & (F.col(column) == F.col("label")))
+    counted = both.groupBy("label").agg(F.count_if("changed").alias("changed"), follow("prediction").alias("now"), follow("before").alias("then"))
+    total = counted.agg(F.sum("now").alias("all_now"), F.sum("then").alias("all_then"))
+    names = F.create_map(*[F.lit(x) for pair in V.CLASS_NAMES.items() for x in pair])
+    learnt = (F.col("now") >= F.col("then")) & (F.col("all_now") > F.col("all_then"))
+    found = counted.join(total).select(F.element_at(names, F.col("label")).alias("name"), "changed", learnt.alias("learnt"))
+    return SC.evaluate(retrained_model(spark, sf).model, fed).select("name", "support").join(found, "name").select("name", "support", "changed", "learnt")
 
 
 @query("M10_save_and_load", S.with_views("raw_leads", "SELECT count(*) AS leads, count(*) AS same_score FROM raw_leads"))

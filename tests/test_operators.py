@@ -63,6 +63,38 @@ def test_no_source_is_sorted_at_any_cap(spark):
         assert "Window" not in CO.collect(df, ["a", "b", "c"], cap)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_further_source_costs_one_job_and_none_where_its_cap_cannot_cut(spark):
+    sources = "abcdefgh"
+    df = lead_table(spark, [{"source": s, "business_name": f"{s}{k % 6}"} for s in sources for k in range(12)]).repartition(3)
+
+    def jobs(order, cap):
+        group = f"collect-{len(order)}-{cap}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            CO.collect(df, order, cap)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(sources, 4) - jobs(sources[:2], 4) <= 2 * 6
+    assert jobs(sources, 7) == jobs(sources[:2], 7)
+
+
+@pytest.mark.parametrize("read_out", [RA._READ_OUT, 2])
+def test_collect_with_alike_numbers(spark, monkeypatch, read_out):
+    """Sources that number their leads alike do not take each other's."""
+    monkeypatch.setattr(RA, "_READ_OUT", read_out)
+    rows = [(s, k, f"n{(k * 5 + len(s)) % 9}") for s in ("x", "yy", "zzz") for k in range(9)]
+    df = spark.createDataFrame(rows, "source string, lead_seq bigint, business_name string").repartition(3)
+    for cap in (1, 4, 6):
+        taken, names = [], set()
+        for source in ("yy", "x", "zzz"):
+            new = [r for r in sorted(rows, key=lambda r: r[1]) if r[0] == source and r[2] not in names][:cap]
+            names |= {r[2] for r in new}
+            taken += new
+        assert sorted(map(tuple, CO.collect(df, ["yy", "x", "zzz"], cap).collect())) == sorted(taken)
+
+
 def campaign_by_hand(rows, logged, limit):
     """rows: (seq, email, score, status); the log grows while walking."""
     logged, sent, result = set(logged), 0, {}
