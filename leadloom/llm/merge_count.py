@@ -26,15 +26,15 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 
 
-def merge(symbols, ranks, made):
-    """The symbols left when no adjacent pair has a rank.
+def merges(symbols, ranks, made):
+    """How many merges are made until no adjacent pair has a rank.
 
     Symbols are numbers; ``ranks`` has the rank of ``left << 32 | right``, ``made`` the symbol
     that each rank makes. A heap entry is rank * n + place, which orders by rank, then place.
     """
-    n = len(symbols)
+    n, done = len(symbols), 0
     if n < 2:
-        return symbols
+        return 0
     parts, after, before = [*symbols, -1], list(range(1, n + 1)), list(range(-1, n - 1))
     heap, rank_of = [], ranks.get
     for i in range(n - 1):
@@ -49,6 +49,7 @@ def merge(symbols, ranks, made):
         j = after[i]
         if j == n or rank_of(parts[i] << 32 | parts[j]) != rank:
             continue
+        done += 1
         joined = parts[i] = made[rank]
         parts[j] = -1
         k = after[i] = after[j]
@@ -62,7 +63,7 @@ def merge(symbols, ranks, made):
             rank = rank_of(parts[h] << 32 | joined)
             if rank is not None:
                 heapq.heappush(heap, rank * n + h)
-    return [p for p in parts if p >= 0]
+    return done
 
 
 class Counter:
@@ -74,7 +75,8 @@ class Counter:
         self.units = Memory(self._unit, 1 << 18)
 
     def _piece(self, piece):
-        return len(merge(self.vocabulary.symbols(piece), self.vocabulary.ranks, self.vocabulary.made))
+        symbols = self.vocabulary.symbols(piece)
+        return len(symbols) - merges(symbols, self.vocabulary.ranks, self.vocabulary.made)
 
     def _unit(self, unit):
         return sum(map(self.pieces.__getitem__, byte_pieces(unit)))

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leadloom.llm.merge_count import merge
+from leadloom.llm.merge_count import merges
 from leadloom.llm.tables import texts
 from leadloom.llm.vocabulary import Memory, bare_units, strings, vocabulary, word_pieces
 
@@ -65,7 +65,7 @@ class Encoder:
     def _alone(self, token):
         """True if encoding a token's own symbols gives the token."""
         symbols = [self.symbol[c] for c in self.spelled[token]]
-        found = self.alone[token] = merge(symbols, self.vocabulary.ranks, self.vocabulary.made) == [token]
+        found = self.alone[token] = merges(symbols, self.vocabulary.ranks, self.vocabulary.made) == len(symbols) - 1
         return found
 
     def _fit(self, left, right):

@@ -15,7 +15,7 @@ Tokens come from the tokenizers library. Texts are cut where no token can cross,
 recurring words are kept in a table of fixed size that is looked up with numpy.
 
 Defined cases: a NULL or empty text has only its end id. A NULL id comes first; rows with the same
-id follow each other ordered by text. Other columns are not read. An empty table gives an empty store.
+id follow each other ordered by a hash of their text. Other columns are not read. An empty table gives an empty store.
 """
 
 import zlib
@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leadloom.llm.places import tie_breaker
 from leadloom.llm.spans import BETWEEN_SPACES, hashes, slices, text_column
 from leadloom.llm.tables import texts
 from leadloom.llm.vocabulary import place
@@ -296,7 +297,10 @@ def _encoded(path, end, block_ids):
 
 def write(docs: DataFrame, folder: str, path=VOCABULARY, end=END, block_ids=BLOCK):
     """Encodes all documents, in ascending order of id, into a store at ``folder``."""
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share an id, or are copies, are spread over parts as well.
+    keys = ["doc_id", "hash", "tie"]
+    keyed = texts(docs).withColumns({"hash": F.xxhash64("text"), "tie": tie_breaker()})
+    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     ordered.mapInArrow(_encoded(path, end, block_ids), BLOCKS).write.option("compression", "zstd").parquet(folder)
 
 

@@ -1,7 +1,7 @@
 """Toxicity: character n-grams scaled by naive Bayes log-count ratios under a linear classifier.
 
-Features are runs of 4 to 6 characters of the lower-cased text in which everything but letters and
-digits is a space, hashed. A feature's value in a text that has it is its log-count ratio: how
+Features are runs of 4 to 6 characters, hashed, of the text in which A-Z are lower-cased and ASCII characters but
+letters and digits are spaces; characters beyond ASCII stay as they are. A feature's value in a text that has it is its log-count ratio: how
 much more often toxic training texts have it than others. On these scaled features a logistic
 classifier is trained. A text's score does not depend on how often a feature occurs.
 
@@ -11,7 +11,8 @@ Spark; of the hashed features the ``FEATURES`` that tell most (by chi-square) ar
 passes over all texts once, without a shuffle.
 
 Defined cases: a NULL or empty text has no feature and gets the score of the intercept. NULL labels
-are no labels; a document with several labels is toxic if one says so. Without labels of
+are no labels; a document with several labels is toxic if one says so, and of several texts with its id the one
+that hashes lowest is learnt from. Without labels of
 both classes every score is the share of toxic labels, 0 if there are none. Repeated rows are scored
 one by one; other columns are not read.
 """
@@ -30,20 +31,31 @@ PER_CLASS = 8000
 FEATURES = 1 << 14
 LEAST = 5  # training texts that must have a feature
 THRESHOLD = 0.3
-_PLAIN = np.where(LETTERS_AND_DIGITS, LOWER, 0x20).astype(np.uint8)
+_PLAIN = np.where(LETTERS_AND_DIGITS, LOWER, 0x20).astype(np.uint32)[:128]
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+
+
+def characters(data, offsets):
+    """(code points, bounds) of UTF-8 texts that lie one after the other."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    begins = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return points, begins[offsets]
 
 
 def features(data, offsets):
-    """(text, bucket) of every n-gram of texts that lie one after the other."""
-    plain = np.concatenate((_PLAIN[data], np.zeros(8, np.uint8)))
-    windows = np.ndarray((len(data),), "<u8", plain, 0, (1,))
-    lengths = np.diff(offsets)
+    """(text, bucket) of every n-gram of characters of texts that lie one after the other."""
+    points, bounds = characters(data, offsets)
+    plain = np.where(points < 128, _PLAIN[np.minimum(points, 127)], points).astype(np.uint64)
+    n, lengths = len(plain), np.diff(bounds)
     text = np.repeat(np.arange(len(lengths)), lengths)
-    left = np.repeat(offsets[1:], lengths) - np.arange(len(data))
-    for size in SIZES:
-        inside = left >= size
-        grams = windows[inside] & np.uint64((1 << 8 * size) - 1)
-        yield text[inside], (mix(grams + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int64)
+    left = np.repeat(bounds[1:], lengths) - np.arange(n)
+    padded = np.concatenate((plain, np.zeros(SIZES[-1], np.uint64)))
+    grams = plain
+    for k in range(1, SIZES[-1]):
+        grams = grams * _BASE + padded[k : k + n]
+        if k + 1 in SIZES:
+            inside = left > k
+            yield text[inside], (mix(grams[inside] + np.uint64(k + 1)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS) -> DataFrame:
@@ -55,8 +67,10 @@ def sample(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS) -> DataFrame
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     of_class = lambda values: F.when(F.col("toxic") == 1, F.lit(values[1])).otherwise(F.lit(values[0]))
     chosen = known.where(drawn < of_class(rate)).withColumn("weight", of_class({c: 1 / r for c, r in rate.items()}))
-    # 2 * per_class rows in expectation, whatever the number of labels.
-    return stored(texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "weight"), "toxic-sample")
+    # 2 * per_class labels in expectation, whatever their number, and one text for each.
+    labelled = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "weight")
+    rows = labelled.agg(F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("row"))
+    return stored(rows.select("row.text", "toxic", "weight"), "toxic-sample")
 
 
 def _counts(batches):

@@ -128,6 +128,45 @@ def test_toxicity_of_edge_cases(edges, nothing, no_labels, some_labels):
     assert toxicity.toxicity(nothing, some_labels).collect() == []
 
 
+def test_features_are_windows_of_characters():
+    texts = ["дурак", "Aé日本語🙂!x", "", "abc", "abcd", "a.B1é"]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    found = list(toxicity.features(data, np.cumsum([0, *map(len, raw)])))
+    for size, (text, bucket) in zip(toxicity.SIZES, found):
+        assert np.bincount(text, minlength=len(texts)).tolist() == [max(0, len(t) - size + 1) for t in texts]
+    plain = ["".join(c if not c.isascii() or c.isalnum() else " " for c in t.lower()) for t in texts]
+    grams = [[p[k : k + size] for p in plain for k in range(len(p) - size + 1)] for size in toxicity.SIZES]
+    buckets = {}
+    for of_size, (_, bucket) in zip(grams, found):
+        for gram, b in zip(of_size, bucket.tolist()):
+            assert buckets.setdefault(gram, b) == b
+    assert len(set(buckets.values())) == len(buckets)
+
+
+def test_counts_and_ratios_by_hand(spark):
+    """Log-count ratios of features against a plain count."""
+    rng = np.random.default_rng(5)
+    rows = [("".join(rng.choice(list("abé "), 12)), int(k % 3 == 0), 1.0) for k in range(300)]
+    chosen = spark.createDataFrame(rows, "text string, toxic int, weight double").repartition(3)
+    n = [sum(t == c for _, t, _ in rows) for c in (0, 1)]
+    buckets, ratios = toxicity.informative(chosen, *n, limit=1 << 20)
+    counts = collections.defaultdict(lambda: [0, 0])
+    for text, toxic, _ in rows:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        for b in {int(b) for _, bucket in toxicity.features(raw, np.array([0, len(raw)])) for b in bucket}:
+            counts[b][toxic] += 1
+    want = {b: math.log((t + 1) / (n[1] + 2)) - math.log((c + 1) / (n[0] + 2)) for b, (c, t) in counts.items() if c + t >= toxicity.LEAST}
+    assert dict(zip(buckets.tolist(), ratios.tolist())) == pytest.approx(want)
+
+
+def test_toxic_sample_has_one_text_for_each_label(spark):
+    rows = [(7, f"hot {k}") for k in range(500)] + [(None, "none")] * 50 + [(k, f"t {k}") for k in range(10, 60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in [7, *range(10, 60)]] + [(None, 1)], "doc_id long, toxic int")
+    found = toxicity.sample(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels).collect()
+    assert len(found) == 51 and sum(r["text"].startswith("hot") for r in found) == 1
+
+
 def test_toxicity_is_learnt_and_held_out_labels_are_not(spark):
     rng = np.random.default_rng(2)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))

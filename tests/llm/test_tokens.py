@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leadloom.llm import merge_count, prefix_bpe, token_store
-from leadloom.llm.merge_count import merge
+from leadloom.llm.merge_count import merges
 from leadloom.llm.vocabulary import place
 from tests.llm.conftest import edge_rows, same
 
@@ -30,8 +31,8 @@ def test_merge_counts_equal_the_library(edges, nothing):
 
 def test_merging_takes_the_lowest_rank_then_the_leftmost():
     ranks = {1 << 32 | 1: 0, 2 << 32 | 1: 1}  # 11 -> 2, 21 -> 3
-    assert merge([1, 1, 1, 1, 1], ranks, [2, 3]) == [2, 3]
-    assert merge([], ranks, [2, 3]) == [] and merge([1], ranks, [2, 3]) == [1]
+    assert merges([1, 1, 1, 1, 1], ranks, [2, 3]) == 3  # 2 2 1, then 2 3
+    assert merges([], ranks, [2, 3]) == 0 and merges([1], ranks, [2, 3]) == 0
 
 
 def test_prefix_encoding_equals_the_library(edges, nothing):
@@ -48,6 +49,16 @@ def test_prefix_encoding_equals_the_library(edges, nothing):
     assert prefix_bpe.encode(nothing).collect() == []
 
 
+def merged_by_hand(symbols, ranks, made):
+    """The symbols left when the pair of lowest rank, the leftmost first, has been merged again and again."""
+    while True:
+        pairs = [(ranks[a << 32 | b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a << 32 | b in ranks]
+        if not pairs:
+            return symbols
+        rank, i = min(pairs)
+        symbols = [*symbols[:i], made[rank], *symbols[i + 2 :]]
+
+
 def test_pairs_fit_exactly_when_encoding_leaves_them():
     code = prefix_bpe.encoder(prefix_bpe.VOCABULARY)
     inner = [t for t in code.spelled if ord(code.spelled[t][-1]) < 256]
@@ -55,7 +66,7 @@ def test_pairs_fit_exactly_when_encoding_leaves_them():
     for _ in range(1500):
         left, right = rng.choice(inner), rng.choice(list(code.spelled))
         symbols = [code.symbol[c] for c in code.spelled[left] + code.spelled[right]]
-        merged = merge(symbols, code.vocabulary.ranks, code.vocabulary.made)
+        merged = merged_by_hand(symbols, code.vocabulary.ranks, code.vocabulary.made)
         if code._alone(left) and code._alone(right):
             assert code._fit(left, right) == (merged == [left, right])
 
@@ -93,7 +104,9 @@ def test_store_reads_back_what_the_library_gives(spark, edges, tmp_path):
     folder = str(tmp_path / "store")
     token_store.write(edges, folder, block_ids=100)
     tokens = library(token_store.VOCABULARY)
-    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], (r[1] or "").encode()))
+    hashed = spark.createDataFrame([(r[1] or "",) for r in rows], "t string").selectExpr("t", "xxhash64(t) h")
+    place = {r["t"]: r["h"] for r in hashed.collect()}
+    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], place[r[1] or ""]))
     want, lists, start = [], [], 0
     for doc_id, text, *_ in ordered:
         ids = [*tokens.encode(text or "", add_special_tokens=False).ids, token_store.END]
@@ -105,6 +118,24 @@ def test_store_reads_back_what_the_library_gives(spark, edges, tmp_path):
     same(token_store.documents(blocks).collect(), lists)
 
 
+def test_rows_that_share_an_id_are_dealt_out(spark, tmp_path):
+    """Half of the rows have one id, half of these one text."""
+    rows = [(k, f"t {k}") for k in range(2000)] + [(77, "copy")] * 1000 + [(77, f"hot {k}") for k in range(1000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        token_store.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), str(tmp_path / "store"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    blocks = token_store.read(spark, str(tmp_path / "store"))
+    sizes = [r["n"] for r in blocks.groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 16 and max(sizes) <= 2 * sorted(sizes)[8]
+    starts = [(r["start"], r["doc_id"]) for r in token_store.digests(blocks).collect()]
+    assert [i for _, i in sorted(starts)] == sorted(i for i, _ in rows)
+
+
 def test_empty_store(spark, nothing, tmp_path):
     token_store.write(nothing, str(tmp_path / "empty"))
     assert token_store.digests(token_store.read(spark, str(tmp_path / "empty"))).collect() == []
