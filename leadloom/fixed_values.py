@@ -216,10 +216,11 @@ HTML_MESSAGE = (
     "                {body}\n"
     "            </body></html>\n            "
 )
-PROMPT_TEXT = """
-You are an expert cold email copywriter. Write a short, highly personalized\x20
-cold email for the following lead.\x20
-
+# The first two lines end with a space.
+PROMPT_TEXT = (
+    "\nYou are an expert cold email copywriter. Write a short, highly personalized \n"
+    "cold email for the following lead. \n"
+    """
 RULES:
 - Subject line: max 8 words, curiosity-driven, no clickbait
 - Email body: max 120 words
@@ -251,3 +252,4 @@ Respond ONLY as a JSON object with exactly these keys:
   "body": "..."
 }}
 """
+)

@@ -1,6 +1,8 @@
 """Session set-up and the shared folder used for cut lineage and scratch tables."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -35,7 +37,10 @@ def ship(spark):
     sc = spark.sparkContext
     if getattr(sc, "_leadloom_sent", None) != sc.applicationId:
         package = os.path.dirname(os.path.abspath(__file__))
-        path = os.path.join(tempfile.mkdtemp(prefix="leadloom-"), "leadloom.zip")
+        own = tempfile.mkdtemp(prefix="leadloom-")
+        # Executors fetch the file from the driver as long as it runs.
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = os.path.join(own, "leadloom.zip")
         with zipfile.ZipFile(path, "w") as file:
             for folder, _, names in os.walk(package):
                 for name in names:
