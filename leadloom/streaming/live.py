@@ -24,9 +24,10 @@ def distinct_names(leads, seen_at=None, horizon=None):
     RocksDB (see :func:`leadloom.session.get_spark`). Caps per source need a
     global order and are not applied here; use :func:`leadloom.operators.collect.collect`.
 
-    With ``seen_at``, a timestamp column, and ``horizon``, an interval such as ``30 days``, a name is
-    forgotten once the stream is further than that past its first row, and may come again; the
-    state is then bounded by the names of that time. Rows that come later than that, or without a time, are dropped.
+    With ``seen_at``, a timestamp column, and ``horizon``, an interval such as ``30 days``, a name is kept
+    at least that long after its first row. It is forgotten, and may come again, after the watermark, which
+    stays a horizon behind the latest row, is a horizon past it; the state is then bounded by the
+    names of twice that time. Rows that come later than the watermark, or without a time, are dropped.
     """
 
     def first_of_each(batches):
