@@ -1,8 +1,8 @@
 """Texts scored by a log-bilinear language model trained with noise-contrastive estimation.
 
 Tokens are words and one end per text. The vocabulary is counted over all training texts. The
-words that occur ``LEAST_COUNT`` times are the shortlist, cut into square-root-many classes; the
-others fall into tail classes by their endings. The shortlist grows with the vocabulary up to
+words that occur ``LEAST_COUNT`` times are the shortlist, cut into classes that grow with the rank of their
+words, so that frequent words are in small ones; the others fall into tail classes by their endings. The shortlist grows with the vocabulary up to
 ``SHORTLIST`` words, which bounds the parameters to about 13 MB in a task.
 The predicted vector of a place is the sum of the ``CONTEXT`` words before it, each scaled by
 weights of its distance. From it come, by matrix products,
@@ -113,9 +113,11 @@ def _cut(counts: DataFrame, limit):
     return int(inside.iloc[-1]) if len(inside) else int(top["c"].iloc[0]) + 1 if len(top) else 1
 
 
-def class_words(n_short, n_classes):
-    """How many words of the shortlist a class has; only the last may have fewer."""
-    return -(-n_short // n_classes)
+def class_starts(n):
+    """Where the classes of ``n`` words in falling frequency begin, and the end. Widths grow in proportion to the
+    class's number; with frequencies like 1 / rank, so many classes make class and word sums cheapest together."""
+    classes = int(np.ceil(np.sqrt(4 * n / np.log(n + 2))))
+    return np.unique(np.append((n * (np.arange(classes) / classes) ** 2).astype(np.int64), n))
 
 
 class Vocabulary:
@@ -145,9 +147,8 @@ class Vocabulary:
         self.short[self.words == END] = 0
         mass = np.concatenate(([self.n_ends + ADD], self.c[chosen].astype(float)))
         self.word_share = mass / mass.sum()
-        self.n_classes = int(np.ceil(np.sqrt(len(mass))))
-        begin = np.arange(0, len(mass), class_words(len(mass), self.n_classes))
-        classes = np.concatenate((np.add.reduceat(mass, begin), self.tail_sums))
+        self.starts = class_starts(len(mass))
+        classes = np.concatenate((np.add.reduceat(mass, self.starts[:-1]), self.tail_sums))
         self.class_share = classes / classes.sum()
 
     def find(self, words, tails):
@@ -177,8 +178,16 @@ def contexts(inputs, bounds, start):
     return np.stack(columns, 1)
 
 
+def groups(inputs, starts):
+    """The class of each token, tail classes after those of the shortlist."""
+    n_short, n_classes = starts[-1], len(starts) - 1
+    of = np.repeat(np.arange(n_classes, dtype=np.int32), np.diff(starts))
+    return np.where(inputs < n_short, of[np.minimum(inputs, n_short - 1)], n_classes + inputs - n_short)
+
+
 class Model:
-    """Parameters of the network and its normalised log-probabilities."""
+    """Parameters of the network and its normalised log-probabilities. The last column of ``classes`` and ``words``
+    is their bias, which meets a one at the end of a predicted vector."""
 
     def __init__(self, vocabulary):
         n_inputs, n_short = len(vocabulary.word_share) + TAILS + 1, len(vocabulary.word_share)
@@ -186,13 +195,12 @@ class Model:
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         with np.errstate(divide="ignore"):
             log_class = np.maximum(np.log(vocabulary.class_share), -1e4).astype(np.float32)
+        biased = lambda rows, bias: np.concatenate((rows, bias[:, None]), axis=1)
         self.parameters = {
             "inputs": draw(n_inputs, DIMENSIONS),
             "scales": np.repeat((1 / np.arange(1, CONTEXT + 1, dtype=np.float32))[:, None], DIMENSIONS, 1),
-            "classes": draw(len(log_class), DIMENSIONS),
-            "class_bias": log_class,
-            "words": draw(n_short, DIMENSIONS),
-            "word_bias": np.log(vocabulary.word_share).astype(np.float32),
+            "classes": biased(draw(len(log_class), DIMENSIONS), log_class),
+            "words": biased(draw(n_short, DIMENSIONS), np.log(vocabulary.word_share).astype(np.float32)),
         }
 
     def flat(self):
@@ -205,35 +213,51 @@ class Model:
             at += p.size
         return self
 
-    def log_probabilities(self, inputs, bounds, n_classes, chunk=1 << 14):
+    def log_probabilities(self, inputs, bounds, starts, chunk=1 << 16):
         """Natural logs of P(class) and, in the shortlist, P(word | class) added, per token."""
-        p, n_short = self.parameters, len(self.parameters["words"])
-        width = class_words(n_short, n_classes)
-        scaled = p["scales"][:, None, :] * p["inputs"][None]
+        p, n_classes = self.parameters, len(starts) - 1
+        scaled = [scale * p["inputs"] for scale in p["scales"]]
         before = contexts(inputs, bounds, len(p["inputs"]) - 1)
-        out = np.empty(len(inputs))
+        group = groups(inputs, starts)
+        out = np.empty(len(inputs), np.float32)
+        q = np.ones((chunk, DIMENSIONS + 1), np.float32)
         for k in range(0, len(inputs), chunk):
-            target, ctx = inputs[k : k + chunk], before[k : k + chunk]
-            q = sum(scaled[j][ctx[:, j]] for j in range(CONTEXT))
-            z = q @ p["classes"].T + p["class_bias"]
-            top = z.max(1)
-            group = np.where(target < n_short, target // width, n_classes + target - n_short)
-            found = z[np.arange(len(z)), group] - top - np.log(np.exp(z - top[:, None]).sum(1))
-            order = np.argsort(group, kind="stable")
-            ends = np.searchsorted(group[order], np.arange(n_classes + 1))
-            for c in range(n_classes):
-                rows = order[ends[c] : ends[c + 1]]
-                if len(rows):
-                    of = slice(c * width, (c + 1) * width)
-                    z = q[rows] @ p["words"][of].T + p["word_bias"][of]
-                    top = z.max(1)
-                    found[rows] += z[np.arange(len(rows)), target[rows] - c * width] - top - np.log(np.exp(z - top[:, None]).sum(1))
+            target, ctx, of = inputs[k : k + chunk], before[k : k + chunk], group[k : k + chunk]
+            n = len(target)
+            q[:n, :-1] = np.take(scaled[0], ctx[:, 0], axis=0)
+            for j in range(1, CONTEXT):
+                q[:n, :-1] += np.take(scaled[j], ctx[:, j], axis=0)
+            found = _log_softmax(q[:n], p["classes"], of)
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(n_classes + 1))
+            ranked, places = np.take(q[:n], order, axis=0), target[order]
+            for c in np.flatnonzero(np.diff(ends)):
+                s = slice(ends[c], ends[c + 1])
+                found[order[s]] += _log_softmax(ranked[s], p["words"][starts[c] : starts[c + 1]], places[s] - starts[c])
             out[k : k + chunk] = found
-        return out
+        return out.astype(np.float64)
+
+
+def _log_softmax(q, rows, chosen, held=1 << 18):
+    """The log-probability of each chosen row; products of about ``held`` numbers stay in the cache."""
+    found, step = np.empty(len(q), np.float32), max(1, held // len(rows))
+    of = rows.T.copy()
+    for k in range(0, len(q), step):
+        z = q[k : k + step] @ of
+        z -= z.max(axis=1, keepdims=True)
+        mine = z[np.arange(len(z)), chosen[k : k + step]]
+        np.exp(z, out=z)
+        found[k : k + step] = mine - np.log(z.sum(axis=1))
+    return found
 
 
 def _sigmoid(z):
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    """In the place of ``z``."""
+    with np.errstate(over="ignore"):
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        return np.reciprocal(z, out=z)
 
 
 class Trainer:
@@ -243,52 +267,67 @@ class Trainer:
         self.model, self.vocabulary = Model(vocabulary), vocabulary
         self.squares = {name: np.full(p.shape, 1e-3, np.float32) for name, p in self.model.parameters.items()}
         self.rng = np.random.default_rng(seed)
-        self.class_steps, self.word_steps = np.cumsum(vocabulary.class_share), np.cumsum(vocabulary.word_share)
+        self.noise = {}
+        for name, share, n_noise in (("classes", vocabulary.class_share, CLASS_NOISE), ("words", vocabulary.word_share, WORD_NOISE)):
+            with np.errstate(divide="ignore"):
+                self.noise[name] = np.cumsum(share), np.log(n_noise * share).astype(np.float32), n_noise
         self.places = 0
 
-    def _step(self, name, gradient, rows=None):
+    def _step(self, name, gradient, rows):
+        """One step for each row, by the sum of its gradients."""
         p, s = self.model.parameters[name], self.squares[name]
-        if rows is None:
-            s += gradient * gradient
-            p -= RATE * gradient / np.sqrt(s)
-            return
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows)
         ranked = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        total = np.add.reduceat(gradient[order], first, axis=0)
+        new = np.ones(len(ranked), bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(np.take(gradient, order, axis=0), first, axis=0)
         rows = ranked[first]
-        s[rows] += total * total
-        p[rows] -= RATE * total / np.sqrt(s[rows])
-
-    def _contrast(self, q, target, kind, bias, share, steps, n_noise):
+        square = np.take(s, rows, axis=0)
+        square += total * total
+        s[rows] = square
+        np.sqrt(square, out=square)
+        total /= square
+        total *= RATE
+        p[rows] -= total
+
+    def _contrast(self, q, target, name):
         """Scores targets and shared noise; steps the outputs and returns the slope of q."""
-        p = self.model.parameters
-        noise = np.minimum(np.searchsorted(steps, self.rng.random(n_noise) * steps[-1]), len(share) - 1)
-        odds = lambda rows: np.log(n_noise * share[rows]).astype(np.float32)
-        good = _sigmoid((q * p[kind][target]).sum(1) + p[bias][target] - odds(target)) - 1
-        bad = _sigmoid(q @ p[kind][noise].T + p[bias][noise] - odds(noise))
-        slope = good[:, None] * p[kind][target] + bad @ p[kind][noise]
-        rows = np.concatenate((target, noise))
+        p = self.model.parameters[name]
+        steps, odds, n_noise = self.noise[name]
+        noise = np.minimum(np.searchsorted(steps, self.rng.random(n_noise) * steps[-1]), len(steps) - 1)
+        own, other = np.take(p, target, axis=0), np.take(p, noise, axis=0)
+        good = np.einsum("ij,ij->i", q, own)
+        good -= odds[target]
+        good = _sigmoid(good)
+        good -= 1
+        bad = q @ other.T
+        bad -= odds[noise]
+        bad = _sigmoid(bad)
         scale = np.float32(1 / len(target))
-        self._step(kind, scale * np.concatenate((good[:, None] * q, bad.T @ q)), rows)
-        self._step(bias, scale * np.concatenate((good, bad.sum(0))), rows)
-        return slope * scale
+        good *= scale
+        bad *= scale
+        own *= good[:, None]
+        own += bad @ other
+        self._step(name, np.concatenate((good[:, None] * q, bad.T @ q)), np.concatenate((target, noise)))
+        return own[:, :-1]
 
     def learn(self, inputs, before):
         v, p = self.vocabulary, self.model.parameters
-        n_short = len(v.word_share)
-        width = class_words(n_short, v.n_classes)
+        group = groups(inputs, v.starts)
         for k in range(0, len(inputs), BATCH):
             target, ctx = inputs[k : k + BATCH], before[k : k + BATCH]
-            x = p["inputs"][ctx]
-            q = (x * p["scales"]).sum(1)
-            short = target < n_short
-            group = np.where(short, target // width, v.n_classes + target - n_short)
-            slope = self._contrast(q, group, "classes", "class_bias", v.class_share, self.class_steps, CLASS_NOISE)
-            if short.any():
-                slope[short] += self._contrast(q[short], target[short], "words", "word_bias", v.word_share, self.word_steps, WORD_NOISE)
+            x = np.take(p["inputs"], ctx, axis=0)
+            q = np.ones((len(target), DIMENSIONS + 1), np.float32)
+            np.einsum("ijk,jk->ik", x, p["scales"], out=q[:, :-1])
+            short = np.flatnonzero(target < v.starts[-1])
+            slope = self._contrast(q, group[k : k + BATCH], "classes")
+            if len(short):
+                slope[short] += self._contrast(np.take(q, short, axis=0), target[short], "words")
             back = slope[:, None, :] * p["scales"]
-            self._step("scales", (slope[:, None, :] * x).sum(0))
+            gradient = np.einsum("ik,ijk->jk", slope, x)
+            self.squares["scales"] += gradient * gradient
+            p["scales"] -= RATE * gradient / np.sqrt(self.squares["scales"])
             self._step("inputs", back.reshape(-1, DIMENSIONS), ctx.ravel())
             self.places += len(target)
 
@@ -374,7 +413,7 @@ def _scored(vocabulary, model):
                 place, inputs = v.find(words, tails)
                 n = len(places) - 1
                 text = np.repeat(np.arange(n), np.diff(bounds))
-                part = model.log_probabilities(inputs, bounds, v.n_classes) / log10 + known_share
+                part = model.log_probabilities(inputs, bounds, v.starts) / log10 + known_share
                 tail = inputs >= n_short
                 part[tail] -= tail_share[inputs[tail] - n_short]
                 c = np.where(place >= 0, v.c[place], 0) if len(v.c) else np.zeros(len(words), np.int64)

@@ -67,25 +67,63 @@ def test_probabilities_sum_to_one(spark, small):
         for chosen in (np.arange(n_short), n_short + tails):
             inputs = np.concatenate([[*context[::-1], t] for t in chosen])
             bounds = np.arange(0, 5 * len(chosen) + 1, 5)
-            total += np.exp(model.log_probabilities(inputs, bounds, vocabulary.n_classes)[4::5]).sum()
+            total += np.exp(model.log_probabilities(inputs, bounds, vocabulary.starts)[4::5]).sum()
         assert total == pytest.approx(1, abs=1e-3)
     known = (vocabulary.c[vocabulary.short < 0] + lm_scoring.ADD).sum()
     assert known == pytest.approx(vocabulary.tail_sums.sum())  # all words are known in so small a table
 
 
+def test_scores_by_hand(spark):
+    """The score of each text against a plain sum over the formula's factors."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{min(int(rng.zipf(1.4)), 400)}" for _ in range(30))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts, v, model = lm_scoring.language_model(docs)
+    c_of = {r["word"]: r["c"] for r in counts.collect()}
+    p, n_short, ends = model.parameters, len(v.word_share), int(lm_scoring.END.view(np.int64))
+    soft = lambda z: z - z.max() - math.log(np.exp(z - z.max()).sum())
+    want = {}
+    for doc_id, text in [*rows, (-1, "unseen w1")]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        words, tails, _ = lm_scoring.tokens(raw, np.array([0, len(raw)]))
+        place, inputs = v.find(words, tails)
+        total, before = 0.0, [n_short + lm_scoring.TAILS] * lm_scoring.CONTEXT
+        for word, tail, token in zip(words.view(np.int64).tolist(), tails.tolist(), inputs.tolist()):
+            c = c_of.get(word, 0)
+            if c:
+                q = np.append(sum(s * p["inputs"][b] for s, b in zip(p["scales"].astype(float), before)), 1)
+                group = np.searchsorted(v.starts, token, "right") - 1 if token < n_short else len(v.starts) - 1 + token - n_short
+                part = soft(p["classes"] @ q)[group] + math.log(1 - v.unknown)
+                if token < n_short:
+                    low, high = v.starts[group], v.starts[group + 1]
+                    part += soft(p["words"][low:high] @ q)[token - low]
+                else:
+                    part += math.log((c + lm_scoring.ADD) / v.tail_sums[tail])
+            else:
+                part = math.log(v.unknown)
+            total += part / math.log(10)
+            before = [token, *before[:-1]]
+        want[doc_id] = total
+    both = docs.unionAll(spark.createDataFrame([(-1, "unseen w1")], docs.schema))
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(both, counts, v, model).collect()}
+    assert c_of[ends] == 200 and n_short > 50 and got == pytest.approx(want, rel=1e-4)
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark, small):
     rows = [r for r in lm_scoring.scores(table(spark, small, "documents")).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
 def test_shortlist_grows_with_the_vocabulary(spark):
-    """Every word above the least count has parameters; classes and their words are square-root-many."""
+    """Every word above the least count has parameters; classes grow with the rank of their words."""
     text = " ".join(f"w{k}" for k in range(12000))
     docs = spark.createDataFrame([(k, text) for k in range(lm_scoring.LEAST_COUNT)] + [(9, "rare")], "doc_id long, text string")
     vocabulary = lm_scoring.Vocabulary(lm_scoring.count(texts(docs)))
     n = len(vocabulary.word_share)
-    assert (n, vocabulary.n_classes, lm_scoring.class_words(n, vocabulary.n_classes)) == (12001, 110, 110)
-    assert len(vocabulary.class_share) == 110 + lm_scoring.TAILS
+    widths = np.diff(vocabulary.starts)
+    assert n == widths.sum() == 12001 and vocabulary.starts[0] == 0 and len(widths) <= 72
+    assert 1 <= widths[0] <= 4 and widths.max() <= 2 * 12001 / 72 + 2 and (np.diff(widths) >= -1).all()
+    assert len(vocabulary.class_share) == len(widths) + lm_scoring.TAILS
 
 
 def test_tail_inputs_come_after_a_large_shortlist():
@@ -107,7 +145,7 @@ def test_training_learns_contexts():
     class Vocabulary:
         word_share = np.concatenate(([0.02], np.full(20, 0.049)))
         class_share = np.concatenate(([1.0], np.zeros(lm_scoring.TAILS)))
-        n_classes = 1
+        starts = np.array([0, 21])
 
     rng = np.random.default_rng(0)
     texts = [1 + 10 * (k % 2) + rng.integers(0, 10, 30) for k in range(1500)]
@@ -116,7 +154,7 @@ def test_training_learns_contexts():
     trainer = lm_scoring.Trainer(Vocabulary, 0)
     for _ in range(6):
         trainer.learn(inputs, before)
-    found = trainer.model.log_probabilities(inputs, bounds, 1).reshape(-1, 30)[:, 5:]
+    found = trainer.model.log_probabilities(inputs, bounds, Vocabulary.starts).reshape(-1, 30)[:, 5:]
     assert found.mean() > math.log(1 / 13)
 
 
