@@ -687,8 +687,8 @@ def _(spark, sf):
     return _fine(spark, sf, 3 * LIMIT, top_list=0)
 
 
-# Every lead twice, and all under seven numbers.
-_TWICE = "SELECT * REPLACE (lead_seq % 7 AS lead_seq, {score} AS ml_score) FROM eligible UNION ALL SELECT * REPLACE (lead_seq % 7 AS lead_seq, {score} AS ml_score) FROM eligible"
+# Every lead twice, the second time a little worse, and all under seven numbers.
+_TWICE = "SELECT * REPLACE (lead_seq % 7 AS lead_seq, {score} AS ml_score) FROM eligible UNION ALL SELECT * REPLACE (lead_seq % 7 AS lead_seq, {score} - 1e-6 AS ml_score) FROM eligible"
 
 
 def _twice_sql():
@@ -704,7 +704,8 @@ def _twice_sql():
 def _(spark, sf):
     fine = eligible(spark, sf).withColumn("ml_score", F.expr(_FINE.replace("100000.0", "100000.0D")))
     alike = fine.withColumn("lead_seq", F.col("lead_seq") % 7)
-    return CA.select_campaign(alike.unionByName(alike), log(spark, sf), LIMIT).select("lead_seq", "email", "disposition")
+    worse = alike.withColumn("ml_score", F.col("ml_score") - 1e-6)
+    return CA.select_campaign(alike.unionByName(worse), log(spark, sf), LIMIT).select("lead_seq", "email", "disposition")
 
 
 @query("W05_first_per_email", S.with_views("scored", "SELECT lead_seq, email FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ml_score DESC, lead_seq) AS n FROM scored WHERE email <> 'N/A') WHERE n = 1"))
