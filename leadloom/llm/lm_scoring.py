@@ -40,6 +40,7 @@ SHORTLIST, LEAST_COUNT, TAILS = 1 << 16, 5, 64
 KNOWN = 1 << 18
 DIMENSIONS, CONTEXT = 24, 4
 BATCH, RATE = 2048, 0.1
+STRETCH = 32  # places in a row that stay together in a batch
 CLASS_NOISE, WORD_NOISE = 32, 96
 PIECES = 64  # pieces in which parameters are summed
 ADD = 0.1
@@ -166,16 +167,27 @@ class Vocabulary:
         return place, np.where(short >= 0, short, n_short + tails.astype(np.int32))
 
 
-def contexts(inputs, bounds, start):
-    """The inputs before each token, nearest first; ``start`` stands before a text's first."""
-    place = np.arange(len(inputs)) - np.repeat(bounds[:-1], np.diff(bounds))
-    columns = []
-    for k in range(1, CONTEXT + 1):
-        before = np.empty_like(inputs)
-        before[k:] = inputs[:-k]
-        before[:k] = start
-        columns.append(np.where(place >= k, before, start))
-    return np.stack(columns, 1)
+def line_up(inputs, bounds, start, step=1):
+    """(line, real): the tokens of all texts in a row, each text after ``CONTEXT`` marks of its start, so that the words before
+    a token are its neighbours. From ``CONTEXT`` on the line has a multiple of ``step`` places; ``real`` tells tokens from marks."""
+    texts_before = np.repeat(np.arange(1, len(bounds)), np.diff(bounds))
+    at = np.arange(len(inputs)) + CONTEXT * texts_before
+    last = at[-1] + 1 if len(at) else CONTEXT
+    line = np.full(CONTEXT - (CONTEXT - last) // step * step, start, np.int32)
+    real = np.zeros(len(line), bool)
+    line[at], real[at] = inputs, True
+    return line, real
+
+
+def predicted(rows, scales):
+    """Sums of the ``CONTEXT`` rows before each place, scaled by their distance, along the last axis but one."""
+    n, width = rows.shape[-2] - CONTEXT, rows.shape[-1]
+    flat = rows.reshape(*rows.shape[:-2], -1)
+    at = lambda k: flat[..., (CONTEXT - k) * width : (CONTEXT - k + n) * width] * np.tile(scales[k - 1], n)
+    total = at(1)
+    for k in range(2, CONTEXT + 1):
+        total += at(k)
+    return total.reshape(*rows.shape[:-2], n, width)
 
 
 def groups(inputs, starts):
@@ -216,17 +228,16 @@ class Model:
     def log_probabilities(self, inputs, bounds, starts, chunk=1 << 16):
         """Natural logs of P(class) and, in the shortlist, P(word | class) added, per token."""
         p, n_classes = self.parameters, len(starts) - 1
-        scaled = [scale * p["inputs"] for scale in p["scales"]]
-        before = contexts(inputs, bounds, len(p["inputs"]) - 1)
+        line, real = line_up(inputs, bounds, len(p["inputs"]) - 1)
         group = groups(inputs, starts)
         out = np.empty(len(inputs), np.float32)
-        q = np.ones((chunk, DIMENSIONS + 1), np.float32)
-        for k in range(0, len(inputs), chunk):
-            target, ctx, of = inputs[k : k + chunk], before[k : k + chunk], group[k : k + chunk]
-            n = len(target)
-            q[:n, :-1] = np.take(scaled[0], ctx[:, 0], axis=0)
-            for j in range(1, CONTEXT):
-                q[:n, :-1] += np.take(scaled[j], ctx[:, j], axis=0)
+        q, done = np.ones((chunk, DIMENSIONS + 1), np.float32), 0
+        for k in range(0, len(line) - CONTEXT, chunk):
+            rows = np.take(p["inputs"], line[k : k + chunk + CONTEXT], axis=0)
+            here = np.flatnonzero(real[k + CONTEXT : k + CONTEXT + chunk])
+            n = len(here)
+            q[:n, :-1] = np.take(predicted(rows, p["scales"]), here, axis=0)
+            target, of = inputs[done : done + n], group[done : done + n]
             found = _log_softmax(q[:n], p["classes"], of)
             order = np.argsort(of, kind="stable")
             ends = np.searchsorted(of[order], np.arange(n_classes + 1))
@@ -234,20 +245,28 @@ class Model:
             for c in np.flatnonzero(np.diff(ends)):
                 s = slice(ends[c], ends[c + 1])
                 found[order[s]] += _log_softmax(ranked[s], p["words"][starts[c] : starts[c + 1]], places[s] - starts[c])
-            out[k : k + chunk] = found
+            out[done : done + n] = found
+            done += n
         return out.astype(np.float64)
 
 
 def _log_softmax(q, rows, chosen, held=1 << 18):
     """The log-probability of each chosen row; products of about ``held`` numbers stay in the cache."""
     found, step = np.empty(len(q), np.float32), max(1, held // len(rows))
-    of = rows.T.copy()
+    of, ones = rows.T.copy(), np.ones(len(rows), np.float32)
     for k in range(0, len(q), step):
-        z = q[k : k + step] @ of
-        z -= z.max(axis=1, keepdims=True)
-        mine = z[np.arange(len(z)), chosen[k : k + step]]
-        np.exp(z, out=z)
-        found[k : k + step] = mine - np.log(z.sum(axis=1))
+        part, mine = q[k : k + step], chosen[k : k + step]
+        z = part @ of
+        own = z[np.arange(len(z)), mine]
+        with np.errstate(over="ignore"):
+            total = np.exp(z, out=z) @ ones
+        if not (total.min() > 1e-30 and total.max() < 1e30):  # beyond what single precision holds: relative to the largest
+            z = part @ of
+            largest = z.max(axis=1)
+            z -= largest[:, None]
+            own -= largest
+            total = np.exp(z, out=z) @ ones
+        found[k : k + step] = own - np.log(total)
     return found
 
 
@@ -276,20 +295,26 @@ class Trainer:
     def _step(self, name, gradient, rows):
         """One step for each row, by the sum of its gradients."""
         p, s = self.model.parameters[name], self.squares[name]
-        order = np.argsort(rows)
-        ranked = rows[order]
-        new = np.ones(len(ranked), bool)
-        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(np.take(gradient, order, axis=0), first, axis=0)
-        rows = ranked[first]
-        square = np.take(s, rows, axis=0)
-        square += total * total
-        s[rows] = square
+        width = p.shape[1]
+        if len(p) <= BATCH:
+            changed, of = slice(None), rows
+            n = len(p)
+        else:
+            order = np.argsort(rows)
+            ranked = rows[order]
+            new = np.ones(len(ranked), bool)
+            np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+            changed, of = ranked[new], np.empty(len(rows), np.int64)
+            of[order] = np.cumsum(new) - 1
+            n = len(changed)
+        cells = (of[:, None].astype(np.int64) * width + np.arange(width)).ravel()
+        total = np.bincount(cells, gradient.ravel(), n * width).reshape(n, width).astype(np.float32)
+        square = s[changed] + total * total
+        s[changed] = square
         np.sqrt(square, out=square)
         total /= square
         total *= RATE
-        p[rows] -= total
+        p[changed] -= total
 
     def _contrast(self, q, target, name):
         """Scores targets and shared noise; steps the outputs and returns the slope of q."""
@@ -312,24 +337,36 @@ class Trainer:
         self._step(name, np.concatenate((good[:, None] * q, bad.T @ q)), np.concatenate((target, noise)))
         return own[:, :-1]
 
-    def learn(self, inputs, before):
+    def learn(self, inputs, bounds):
+        """Goes once over all places of the texts, in stretches of ``STRETCH`` places dealt out at random."""
         v, p = self.vocabulary, self.model.parameters
-        group = groups(inputs, v.starts)
-        for k in range(0, len(inputs), BATCH):
-            target, ctx = inputs[k : k + BATCH], before[k : k + BATCH]
-            x = np.take(p["inputs"], ctx, axis=0)
-            q = np.ones((len(target), DIMENSIONS + 1), np.float32)
-            np.einsum("ijk,jk->ik", x, p["scales"], out=q[:, :-1])
+        line, real = line_up(inputs, bounds, len(p["inputs"]) - 1, STRETCH)
+        group = groups(line, v.starts)
+        order = self.rng.permutation(len(line) // STRETCH) * STRETCH
+        for k in range(0, len(order), BATCH // STRETCH):
+            at = order[k : k + BATCH // STRETCH, None] + np.arange(STRETCH + CONTEXT)
+            words, own = line[at], at[:, CONTEXT:].ravel()
+            own, here = own[real[own]], np.flatnonzero(real[own])
+            target = line[own]
+            x = np.take(p["inputs"], words, axis=0)
+            q = np.ones((len(own), DIMENSIONS + 1), np.float32)
+            q[:, :-1] = np.take(predicted(x, p["scales"]).reshape(-1, DIMENSIONS), here, axis=0)
             short = np.flatnonzero(target < v.starts[-1])
-            slope = self._contrast(q, group[k : k + BATCH], "classes")
+            slope = self._contrast(q, group[own], "classes")
             if len(short):
                 slope[short] += self._contrast(np.take(q, short, axis=0), target[short], "words")
-            back = slope[:, None, :] * p["scales"]
-            gradient = np.einsum("ik,ijk->jk", slope, x)
+            slopes = np.zeros((len(at) * STRETCH, DIMENSIONS), np.float32)
+            slopes[here] = slope
+            slopes = slopes.reshape(len(at), -1)
+            flat, back, gradient = x.reshape(len(at), -1), np.zeros((len(at), x[0].size), np.float32), np.empty_like(p["scales"])
+            for j in range(CONTEXT):
+                before = slice((CONTEXT - 1 - j) * DIMENSIONS, (CONTEXT - 1 - j + STRETCH) * DIMENSIONS)
+                back[:, before] += slopes * np.tile(p["scales"][j], STRETCH)
+                gradient[j] = (slopes * flat[:, before]).sum(axis=0).reshape(STRETCH, DIMENSIONS).sum(axis=0)
             self.squares["scales"] += gradient * gradient
             p["scales"] -= RATE * gradient / np.sqrt(self.squares["scales"])
-            self._step("inputs", back.reshape(-1, DIMENSIONS), ctx.ravel())
-            self.places += len(target)
+            self._step("inputs", back.reshape(-1, DIMENSIONS), words.ravel())
+            self.places += len(own)
 
 
 def _trained(vocabulary):
@@ -338,16 +375,15 @@ def _trained(vocabulary):
         trainer, held, size = Trainer(vocabulary, part), [], 0
 
         def learn():
-            inputs, before = (np.concatenate(x) for x in zip(*held))
-            order = trainer.rng.permutation(len(inputs))
-            trainer.learn(inputs[order], before[order])
+            inputs, sizes = (np.concatenate(x) for x in zip(*held))
+            trainer.learn(inputs, np.concatenate(([0], np.cumsum(sizes))))
 
         for batch in batches:
             data, offsets = text_column(batch.column("text"))
             for _, some, places in slices(data, offsets):
                 words, tails, bounds = tokens(some, places)
                 _, inputs = vocabulary.find(words, tails)
-                held.append((inputs, contexts(inputs, bounds, len(vocabulary.word_share) + TAILS)))
+                held.append((inputs, np.diff(bounds)))
                 size += len(inputs)
                 if size >= 1 << 18:
                     learn()

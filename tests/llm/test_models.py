@@ -139,6 +139,43 @@ def test_training_sees_every_place(edges):
     assert sum(r["places"] for r in parts.where("piece = 0").collect()) == vocabulary.n > 20000
 
 
+@pytest.mark.parametrize("step", [1, 7, 32])
+def test_neighbours_in_a_line_are_the_words_before(step):
+    sizes = [3, 0, 1, 9, 40]
+    inputs, bounds = np.arange(sum(sizes)), np.concatenate(([0], np.cumsum(sizes)))
+    line, real = lm_scoring.line_up(inputs, bounds, 99, step)
+    assert (len(line) - lm_scoring.CONTEXT) % step == 0
+    assert line[real].tolist() == inputs.tolist()
+    starts, at = np.repeat(bounds[:-1], sizes), np.flatnonzero(real)
+    for k in range(1, lm_scoring.CONTEXT + 1):
+        assert line[at - k].tolist() == [99 if i - k < first else i - k for i, first in enumerate(starts)]
+    assert len(lm_scoring.line_up(inputs[:0], bounds[:1], 99, step)[0]) == lm_scoring.CONTEXT
+
+
+def test_equal_rows_are_stepped_by_the_sum_of_their_gradients(monkeypatch):
+    class Vocabulary:
+        word_share, class_share, starts = np.full(30, 1 / 30), np.full(1 + lm_scoring.TAILS, 1.0), np.array([0, 30])
+
+    rng = np.random.default_rng(1)
+    rows, gradient = rng.integers(0, 30, 200), rng.standard_normal((200, lm_scoring.DIMENSIONS + 1)).astype(np.float32)
+    want = lm_scoring.Model(Vocabulary).parameters["words"].astype(float)
+    for row in set(rows.tolist()):
+        total = gradient[rows == row].astype(float).sum(axis=0)
+        want[row] -= lm_scoring.RATE * total / np.sqrt(1e-3 + total * total)
+    for batch in (10, 1000):  # fewer and more than the rows
+        monkeypatch.setattr(lm_scoring, "BATCH", batch)
+        trainer = lm_scoring.Trainer(Vocabulary, 0)
+        trainer._step("words", gradient, rows)
+        np.testing.assert_allclose(trainer.model.parameters["words"], want, atol=1e-5)
+
+
+def test_log_softmax_beyond_single_precision():
+    q, rows = np.array([[200.0, 1], [-300, 1], [0.5, 1]], np.float32), np.array([[1, 0], [0.5, 0.25], [-1, 3]], np.float32)
+    z = q.astype(float) @ rows.T
+    want = [row[c] - row.max() - math.log(np.exp(row - row.max()).sum()) for row, c in zip(z, (1, 0, 2))]
+    np.testing.assert_allclose(lm_scoring._log_softmax(q, rows, np.array([1, 0, 2])), want, rtol=1e-5)
+
+
 def test_training_learns_contexts():
     """Words of two languages that never meet: the word before tells which may follow."""
 
@@ -150,10 +187,9 @@ def test_training_learns_contexts():
     rng = np.random.default_rng(0)
     texts = [1 + 10 * (k % 2) + rng.integers(0, 10, 30) for k in range(1500)]
     inputs, bounds = np.concatenate(texts), np.arange(0, 45001, 30)
-    before = lm_scoring.contexts(inputs, bounds, 21 + lm_scoring.TAILS)
     trainer = lm_scoring.Trainer(Vocabulary, 0)
     for _ in range(6):
-        trainer.learn(inputs, before)
+        trainer.learn(inputs, bounds)
     found = trainer.model.log_probabilities(inputs, bounds, Vocabulary.starts).reshape(-1, 30)[:, 5:]
     assert found.mean() > math.log(1 / 13)
 
