@@ -11,8 +11,11 @@ intersected, beginning with the term that is rarest over the whole index, so mos
 one look-up. What is left are the exact places of the run. ``nearby`` finds the places where all
 terms of an item lie within a span of words, in any order.
 
-Items are sent to the blocks in groups of bounded size (``GROUP`` words); more items mean more groups,
-each of which reads the index again. Terms are 64-bit hashes of words.
+Items never visit the driver. Their distinct runs are rows; the sizes of posting lists, which are read without
+the lists, give each run's rarest term, and a join by that term the blocks where the run can be. A
+block meets its runs by a join on the block's number, at most about ``ASKED`` of them in a row, so blocks
+without any are dropped and neither many items nor a frequent term meet in one place. Terms are
+64-bit hashes of words.
 
 Defined cases: a NULL or empty text has no words; an item without words is never found, a
 document without words is clean. Items that share an id count as one item; a NULL item id is
@@ -30,7 +33,7 @@ from leadloom.llm.tables import stored, texts
 
 WINDOW = 10
 BLOCK = 1 << 19  # words of a block
-GROUP = 1 << 18  # words of the items that are searched together
+ASKED = 1 << 15  # runs that a block is searched for at a time, in expectation
 _U = np.uint64
 
 INDEX = "block long, doc_ids array<long>, doc_starts binary, terms binary, list_starts binary, positions binary"
@@ -122,14 +125,7 @@ class Block:
         return np.searchsorted(self.doc_starts, positions, "right") - 1
 
 
-def _blocks(batches):
-    names = ["block", "doc_starts", "terms", "list_starts", "positions"]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield Block(batch.slice(i, 1).select(names).to_pylist()[0])
-
-
-def item_terms(items: DataFrame, spark: SparkSession) -> DataFrame:
+def item_terms(items: DataFrame) -> DataFrame:
     """``(item_id string, terms array<long>)``: the words of each item, as hashes."""
 
     def run(batches):
@@ -144,44 +140,74 @@ def item_terms(items: DataFrame, spark: SparkSession) -> DataFrame:
     return plain.mapInArrow(run, "item_id string, terms array<long>").where(F.size("terms") > 0)
 
 
-def groups(terms: DataFrame, group_words=GROUP):
-    """The items as lists of (item_id, terms), with at most ``group_words`` words at a time."""
-    held, size = [], 0
-    for row in terms.toLocalIterator():
-        if held and size + len(row["terms"]) > group_words:
-            yield held
-            held, size = [], 0
-        held.append((row["item_id"], np.array(row["terms"], np.int64).view(_U)))
-        size += len(row["terms"])
-    if held:
-        yield held
+def runs_of(terms: DataFrame, window) -> DataFrame:
+    """``(item_id, terms)``: the runs of ``window`` words of each item."""
+    size = F.least(F.size("terms"), F.lit(window))
+    first = F.sequence(F.lit(1), F.size("terms") - size + 1)
+    return terms.select("item_id", F.explode(F.transform(first, lambda i: F.slice("terms", i, size))).alias("terms"))
 
 
-def frequencies(index: DataFrame, terms) -> dict:
-    """How often each of the given terms, which are bounded, occurs in the whole index."""
-    sought = np.unique(terms)
+def list_sizes(index: DataFrame, sought: DataFrame) -> DataFrame:
+    """``(term, block, n)``: the sizes of the posting lists of the sought terms; the lists themselves are not read."""
 
     def run(batches):
-        total = np.zeros(len(sought), np.int64)
-        for block in _blocks(batches):
-            begin, end = block.lists(sought)
-            total += end - begin
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(sought[some].view(np.int64)), "n": pa.array(total[some])})
-
-    narrow = index.select("block", "doc_starts", "terms", "list_starts", F.lit(b"").alias("positions"))
-    counted = narrow.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {np.uint64(row["term"] % (1 << 64)): row["n"] for row in counted.toLocalIterator()}
+        for batch in batches:
+            for block, terms, starts in zip(*(batch.column(c) for c in ("block", "terms", "list_starts"))):
+                found = np.frombuffer(terms.as_py(), np.int64)
+                sizes = np.diff(np.frombuffer(starts.as_py(), "<u4").astype(np.int64))
+                for k in range(0, len(found), 1 << 16):
+                    s = slice(k, k + (1 << 16))
+                    columns = {"term": found[s], "block": np.full(len(found[s]), block.as_py()), "n": sizes[s]}
+                    yield pa.RecordBatch.from_pydict({name: pa.array(values) for name, values in columns.items()})
+
+    sizes = index.select("block", "terms", "list_starts").mapInArrow(run, "term long, block long, n long")
+    return sizes.join(sought, "term", "left_semi")
+
+
+def asked_of_blocks(index: DataFrame, runs: DataFrame, asked=ASKED) -> DataFrame:
+    """``(block, asks array<struct<ask, terms, order>>)``: the runs ``(ask, terms)`` whose rarest term a block has; ``order``
+    are the places in ``terms`` from the rarest term on. A run with a term that the index lacks is nowhere. A block
+    has several rows where it has many runs."""
+    words = runs.select("ask", F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
+    sizes = stored(list_sizes(index, words.select("term").distinct()), "list-sizes")
+    counts = sizes.groupBy("term").agg(F.sum("n").alias("n"))
+    ranked = (
+        words.join(counts, "term")
+        .groupBy("ask", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "at", "term"))).alias("ranked"))  # at most a run's words
+        .where(F.size("ranked") == F.col("size"))
+        .select(
+            "ask",
+            F.transform(F.sort_array(F.transform("ranked", lambda r: F.struct(r["at"], r["term"]))), lambda r: r["term"]).alias("terms"),
+            F.transform("ranked", lambda r: r["at"]).alias("order"),
+            F.col("ranked")[0]["term"].alias("term"),
+        )
+    )
+    ranked = stored(ranked, "ranked-runs")
+    pieces = ranked.count() // asked + 1
+    return (
+        ranked.join(sizes.select("term", "block"), "term")
+        .groupBy("block", F.pmod(F.xxhash64("ask"), F.lit(pieces)).alias("piece"))
+        .agg(F.collect_list(F.struct("ask", "terms", "order")).alias("asks"))
+        .select("block", "asks")
+    )
 
 
-def runs_of(group, window):
-    """The distinct runs of words of a group: [(terms, items)]."""
-    found = {}
-    for item, terms in group:
-        size = min(window, len(terms))
-        for i in range(len(terms) - size + 1):
-            found.setdefault(terms[i : i + size].tobytes(), set()).add(item)
-    return [(np.frombuffer(run, _U), sorted(items)) for run, items in found.items()]
+def _asked(batches):
+    """(block, [(ask, terms, order, begin, end)]) of each row: the runs all of whose terms the block has."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = Block({name: batch.column(name)[i].as_py() for name in ("block", "doc_starts", "terms", "list_starts", "positions")})
+            asks = batch.column("asks")[i].values
+            numbers = asks.field("ask").to_numpy()
+            bounds = asks.field("terms").offsets.to_numpy().astype(np.int64)
+            bounds = bounds - bounds[0]
+            terms = asks.field("terms").flatten().to_numpy().view(_U)
+            order = asks.field("order").flatten().to_numpy()
+            begin, end = block.lists(terms)
+            there = np.flatnonzero(np.minimum.reduceat(end - begin, bounds[:-1]))
+            parts = [slice(bounds[k], bounds[k + 1]) for k in there]
+            yield block, [(ask, terms[s], order[s], begin[s], end[s]) for ask, s in zip(numbers[there].tolist(), parts)]
 
 
 def places(block, begin, end, order):
@@ -202,99 +228,92 @@ def places(block, begin, end, order):
     return left
 
 
-MATCHES = "block long, doc long, item_id string, first long, last long"
+MATCHES = "block long, doc long, ask long, first long, last long"
 
 
 def _matches(block, found):
-    """Rows of maximal stretches of words per document and item, from (item, first, last) arrays."""
-    rows = {name: [] for name in ("block", "doc", "item_id", "first", "last")}
-    for item, parts in found.items():
-        first, last = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(first, kind="stable")
-        first, last = first[order], np.maximum.accumulate(last[order])
+    """Rows of maximal stretches of words per document and run, from [(ask, first, last)] with ascending arrays."""
+    rows = {name: [np.zeros(0, np.int64)] for name in ("block", "doc", "ask", "first", "last")}
+    for ask, first, last in found:
         doc = block.document(first)
         new = np.concatenate(([True], (first[1:] > last[:-1]) | (doc[1:] != doc[:-1])))
         begin = np.flatnonzero(new)
-        stop = np.append(begin[1:], len(first)) - 1
-        rows["block"] += [block.number] * len(begin)
-        rows["item_id"] += [item] * len(begin)
-        rows["doc"] += doc[begin].tolist()
-        rows["first"] += (first[begin] - block.doc_starts[doc[begin]]).tolist()
-        rows["last"] += (last[stop] - block.doc_starts[doc[begin]]).tolist()
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
-
-
-def _phrases(group, window, counts):
-    runs = runs_of(group, window)
-    terms = np.unique(np.concatenate([run for run, _ in runs]))
-    count = np.array([counts.get(t, 0) for t in terms], np.int64)
-    where = [np.searchsorted(terms, run) for run, _ in runs]
-    # A run with a term that the index lacks is nowhere.
-    plans = [(w, np.argsort(count[w], kind="stable"), items) for w, (_, items) in zip(where, runs) if count[w].all()]
-
+        stop, doc = np.append(begin[1:], len(first)) - 1, doc[begin]
+        rows["block"].append(np.full(len(begin), block.number))
+        rows["doc"].append(doc)
+        rows["ask"].append(np.full(len(begin), ask))
+        rows["first"].append(first[begin] - block.doc_starts[doc])
+        rows["last"].append(last[stop] - block.doc_starts[doc])
+    return pa.RecordBatch.from_pydict({name: pa.array(np.concatenate(parts)) for name, parts in rows.items()})
+
+
+def _phrases(batches):
+    for block, asks in _asked(batches):
+        found = []
+        for ask, terms, order, begin, end in asks:
+            at = places(block, begin, end, order)
+            # A run must not cross from one document into the next.
+            at = at[block.document(at) == block.document(at + len(terms) - 1)] if len(at) else at
+            if len(at):
+                found.append((ask, at, at + len(terms)))
+        yield _matches(block, found)
+
+
+def _nearby(span):
     def run(batches):
-        for block in _blocks(batches):
-            begin, end = block.lists(terms)
-            found = {}
-            for w, order, items in plans:
-                at = places(block, begin[w], end[w], order)
-                # A run must not cross from one document into the next.
-                at = at[block.document(at) == block.document(at + len(w) - 1)] if len(at) else at
-                if len(at):
-                    for item in items:
-                        found.setdefault(item, []).append((at, at + len(w)))
-            if found:
-                yield _matches(block, found)
+        for block, asks in _asked(batches):
+            found = []
+            for ask, terms, order, begin, end in asks:
+                lists = {}  # the list of each distinct term, and how many of it there must be
+                for k in order:
+                    p, n = lists.get(terms[k], (block.postings(begin[k], end[k]), 0))
+                    lists[terms[k]] = p, n + 1
+                # Every span with all terms begins or goes on at the rarest one.
+                rarest = lists[terms[order[0]]][0]
+                start = np.unique(np.concatenate([rarest - k for k in range(span)]))
+                doc = block.document(np.maximum(start, 0))
+                low, high = np.maximum(start, block.doc_starts[doc]), np.minimum(start + span, block.doc_starts[doc + 1])
+                whole = np.ones(len(start), bool)
+                for p, n in lists.values():
+                    whole &= np.searchsorted(p, high) - np.searchsorted(p, low) >= n
+                if whole.any():
+                    found.append((ask, low[whole], high[whole]))
+            yield _matches(block, found)
 
     return run
 
 
-def phrases(index: DataFrame, items: DataFrame, window=WINDOW, group_words=GROUP) -> DataFrame:
-    """``(block, doc, item_id, first, last)``: the words [first, last) of a document (the doc-th of
-    its block) that lie in runs of an item."""
-    spark, found = index.sparkSession, None
-    for group in groups(item_terms(items, spark), group_words):
-        counts = frequencies(index, np.concatenate([terms for _, terms in group]))
-        part = index.mapInArrow(_phrases(group, window, counts), MATCHES)
-        found = part if found is None else found.unionAll(part)
-    return spark.createDataFrame([], MATCHES) if found is None else found
-
+def _searched(index: DataFrame, wanted: DataFrame, search, asked) -> DataFrame:
+    """``(block, doc, item_id, first, last)``: maximal stretches per document and item, from what ``search`` finds of each
+    distinct run of ``wanted`` ``(item_id, terms)``. Equal runs are searched once and then given to all their items."""
+    owners = stored(wanted.distinct(), "run-owners")
+    runs = stored(owners.select("terms").distinct().withColumn("ask", F.monotonically_increasing_id()), "runs")
+    asks = stored(asked_of_blocks(index, runs, asked), "asked-of-blocks")
+    found = index.drop("doc_ids").join(asks, "block").mapInArrow(search, MATCHES)
+    of_items = found.join(runs.join(owners, "terms").select("ask", "item_id"), "ask")
+    here = Window.partitionBy("block", "doc", "item_id").orderBy("first", "last")
+    reached = F.max("last").over(here.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reached.isNull() | (F.col("first") > reached), 1).otherwise(0)
+    stretch = F.sum("new").over(here.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        of_items.withColumn("new", new)
+        .withColumn("stretch", stretch)
+        .groupBy("block", "doc", "item_id", "stretch")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        .drop("stretch")
+    )
 
-def _nearby(group, span, counts):
-    def run(batches):
-        for block in _blocks(batches):
-            found = {}
-            for item, terms in group:
-                wanted, times = np.unique(terms, return_counts=True)
-                begin, end = block.lists(wanted)
-                order = np.argsort([counts.get(t, 0) for t in wanted], kind="stable")
-                if (end - begin < times).any():
-                    continue
-                rarest = block.postings(begin[order[0]], end[order[0]])
-                # Every span with all terms begins or goes on at the rarest one.
-                for start in np.unique(np.concatenate([rarest - k for k in range(span)])):
-                    doc = block.document(np.array([max(start, 0)]))[0]
-                    low, high = max(start, block.doc_starts[doc]), min(start + span, block.doc_starts[doc + 1])
-                    if all(
-                        np.searchsorted(p, high) - np.searchsorted(p, low) >= n
-                        for p, n in ((block.positions[begin[o] : end[o]], times[o]) for o in order)
-                    ):
-                        found.setdefault(item, []).append((np.array([low]), np.array([high])))
-            if found:
-                yield _matches(block, found)
 
-    return run
+def phrases(index: DataFrame, items: DataFrame, window=WINDOW, asked=ASKED) -> DataFrame:
+    """``(block, doc, item_id, first, last)``: the words [first, last) of a document (the doc-th of
+    its block) that lie in runs of an item."""
+    return _searched(index, runs_of(item_terms(items), window), _phrases, asked)
 
 
-def nearby(index: DataFrame, items: DataFrame, span: int, group_words=GROUP) -> DataFrame:
-    """As ``phrases``, for stretches of ``span`` words that hold all words of an item in any order."""
-    spark, found = index.sparkSession, None
-    for group in groups(item_terms(items, spark), group_words):
-        counts = frequencies(index, np.concatenate([terms for _, terms in group]))
-        part = index.mapInArrow(_nearby(group, span, counts), MATCHES)
-        found = part if found is None else found.unionAll(part)
-    return spark.createDataFrame([], MATCHES) if found is None else found
+def nearby(index: DataFrame, items: DataFrame, span: int, asked=ASKED) -> DataFrame:
+    """As ``phrases``, for stretches of ``span`` words that hold all words of an item in any order, as often as the item has them."""
+    short = item_terms(items).where(F.size("terms") <= span)  # no span holds more
+    return _searched(index, short.select("item_id", F.sort_array("terms").alias("terms")), _nearby(span), asked)
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
@@ -315,9 +334,9 @@ def indexed_documents(index: DataFrame) -> DataFrame:
     return index.select("block", "doc_ids", "doc_starts").mapInArrow(run, "block long, doc long, doc_id long, n_words long")
 
 
-def contamination(index: DataFrame, items: DataFrame, window=WINDOW, group_words=GROUP) -> DataFrame:
+def contamination(index: DataFrame, items: DataFrame, window=WINDOW, asked=ASKED) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for each indexed row."""
-    found = stored(phrases(index, items, window, group_words), "phrases")
+    found = stored(phrases(index, items, window, asked), "phrases")
     here = Window.partitionBy("block", "doc").orderBy("first", "last")
     reached = F.coalesce(F.max("last").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hit = (

@@ -4,9 +4,11 @@ import base64
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leadloom.llm import decontaminate, near_dedup, warc
 from leadloom.llm.components import components
@@ -134,12 +136,12 @@ def _items():
     return [(10, part(5, 0, 30)), (9, part(5, 10, 25)), (2, part(24, 5000, 5040)), (3, "one"), (4, None), (5, ""), (6, "the the the the the the the the the the the"), (7, "absent words " * 8), (None, part(6, 3, 20)), (10, part(7, 0, 12))]
 
 
-@pytest.mark.parametrize("block_words, group_words", [(1 << 19, 1 << 18), (40, 16)])
-def test_decontamination_with_edge_cases(spark, edges, tmp_path, block_words, group_words):
+@pytest.mark.parametrize("block_words, asked", [(1 << 19, 1 << 15), (40, 7)])
+def test_decontamination_with_edge_cases(spark, edges, tmp_path, block_words, asked):
     items = spark.createDataFrame([(*r, 1) for r in _items()], "item_id long, text string, block long")
     decontaminate.build(edges, str(tmp_path / "i"), block_words)
     index = decontaminate.read(spark, str(tmp_path / "i"))
-    got = decontaminate.contamination(index, items, group_words=group_words).collect()
+    got = decontaminate.contamination(index, items, asked=asked).collect()
     same(got, hits_by_hand([(r[0], r[1]) for r in edge_rows()], _items()))
 
 
@@ -162,6 +164,53 @@ def test_nearby_words_in_any_order(spark, tmp_path):
     same(rows, [(1, "7", 1, 6), (2, "7", 0, 3)])
 
 
+def near_by_words(docs, items, span):
+    """Spans of words, cut at the ends of a text, that hold all words of an item; merged where they touch."""
+    out = set()
+    for doc_id, text in docs:
+        w = text.split()
+        for item, words in items:
+            need, reached = Counter(words.split()), None
+            for start in range(1 - span, len(w)):
+                low, high = max(start, 0), min(start + span, len(w))
+                if not need - Counter(w[low:high]):
+                    reached = (low, high) if reached is None or low > reached[1] else (reached[0], high)
+                elif reached is not None and max(start + 1, 0) > reached[1]:
+                    out.add((doc_id, str(item), *reached))
+                    reached = None
+            if reached is not None:
+                out.add((doc_id, str(item), *reached))
+    return out
+
+
+@pytest.mark.parametrize("block_words, asked", [(1 << 19, 1 << 15), (30, 2)])
+def test_nearby_equals_brute_force(spark, tmp_path, block_words, asked):
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("aaaaaabbbcdefgh") for _ in range(n))
+    docs = [(k, text(rng.randrange(1, 60))) for k in range(40)]
+    items = [(k, text(rng.randrange(1, 6))) for k in range(12)] + [(99, "a " * 20), (98, "absent a")]
+    decontaminate.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), str(tmp_path / "n"), block_words)
+    index = decontaminate.read(spark, str(tmp_path / "n"))
+    found = decontaminate.nearby(index, spark.createDataFrame(items, "item_id long, text string"), 4, asked)
+    rows = found.join(decontaminate.indexed_documents(index), ["block", "doc"]).select("doc_id", "item_id", "first", "last").collect()
+    same(rows, sorted(near_by_words(docs, items, 4)))
+
+
+def test_a_passage_of_many_items_and_documents_is_one_run(spark, tmp_path):
+    passage = " ".join(f"w{k}" for k in range(12))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(f"x {passage} y").alias("text"))
+    items = spark.range(50).select(F.col("id").alias("item_id"), F.lit(passage).alias("text"))
+    decontaminate.build(docs, str(tmp_path / "p"), 1000)
+    index = decontaminate.read(spark, str(tmp_path / "p"))
+    runs = decontaminate.runs_of(decontaminate.item_terms(items), 10).select("terms").distinct().withColumn("ask", F.monotonically_increasing_id())
+    asked = decontaminate.asked_of_blocks(index, runs, 2)
+    assert runs.count() == 3
+    assert max(r["n"] for r in asked.select(F.size("asks").alias("n")).collect()) <= 3
+    assert asked.select(F.sum(F.size("asks"))).first()[0] == 3 * index.count()
+    got = decontaminate.contamination(index, items).collect()
+    assert {tuple(r)[1:4] for r in got} == {(14, 12, 50)} and len(got) == 3000
+
+
 HOSTILE = ["<p>x</p>", "WARC/1.1\r\n", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n", "\r\n\r\n", "é日本",
            "Content-Length: 9999\r\n\r\n", "WARC/1.1\r\nContent-Length: 100000\r\n\r\n", "y" * 300, ""]
 
