@@ -51,6 +51,18 @@ def term_runs(column):
         yield first, hashes(part, starts, ends), bounds
 
 
+def packed(numbers):
+    """The steps between 32-bit numbers (modulo 2^32), lowest bytes of all first: steps are mostly small, so the higher
+    bytes are runs of zeros, which the codecs of files and shuffles shorten."""
+    steps = np.diff(numbers.astype("<u4"), prepend=np.zeros(1, "<u4"))
+    return steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data):
+    steps = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def _block(number, doc_ids, sizes, terms):
     terms = np.concatenate(terms) if terms else np.zeros(0, _U)
     order = np.argsort(terms, kind="stable")
@@ -62,8 +74,8 @@ def _block(number, doc_ids, sizes, terms):
         [doc_ids],
         [starts.tobytes()],
         [ranked[first].tobytes()],
-        [np.append(first, len(ranked)).astype("<u4").tobytes()],
-        [order.astype("<u4").tobytes()],
+        [packed(np.append(first, len(ranked)))],
+        [packed(order)],
     ]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _INDEX)], schema=_INDEX)
 
@@ -106,8 +118,8 @@ class Block:
         self.number = row["block"]
         self.doc_starts = np.frombuffer(row["doc_starts"], "<u8").astype(np.int64)
         self.terms = np.frombuffer(row["terms"], _U)
-        self.list_starts = np.frombuffer(row["list_starts"], "<u4")
-        self.positions = np.frombuffer(row["positions"], "<u4")
+        self.list_starts = unpacked(row["list_starts"])
+        self.positions = unpacked(row["positions"])
 
     def lists(self, terms):
         """(begin, end) of the posting list of each term; empty where the block lacks it."""
@@ -154,7 +166,7 @@ def list_sizes(index: DataFrame, sought: DataFrame) -> DataFrame:
         for batch in batches:
             for block, terms, starts in zip(*(batch.column(c) for c in ("block", "terms", "list_starts"))):
                 found = np.frombuffer(terms.as_py(), np.int64)
-                sizes = np.diff(np.frombuffer(starts.as_py(), "<u4").astype(np.int64))
+                sizes = np.diff(unpacked(starts.as_py()).astype(np.int64))
                 for k in range(0, len(found), 1 << 16):
                     s = slice(k, k + (1 << 16))
                     columns = {"term": found[s], "block": np.full(len(found[s]), block.as_py()), "n": sizes[s]}

@@ -164,6 +164,11 @@ def test_nearby_words_in_any_order(spark, tmp_path):
     same(rows, [(1, "7", 1, 6), (2, "7", 0, 3)])
 
 
+@pytest.mark.parametrize("numbers", [[], [0], [7, 3, 2**32 - 1, 0, 5], list(range(0, 9000, 3))])
+def test_packed_numbers_come_back(numbers):
+    assert decontaminate.unpacked(decontaminate.packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
 def near_by_words(docs, items, span):
     """Spans of words, cut at the ends of a text, that hold all words of an item; merged where they touch."""
     out = set()
