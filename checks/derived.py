@@ -6,6 +6,8 @@ DataFrame, ``CTE`` holds the same view as SQL text.
 
 from pyspark.sql import functions as F
 
+from leadloom.session import deal_out
+
 RAW_LEADS = {
     "lead_seq": "c_custkey",
     "source": "CASE c_custkey % 7 WHEN 0 THEN 'google_maps' WHEN 1 THEN 'justdial' WHEN 2 THEN 'indiamart' WHEN 3 THEN 'yellowpages' WHEN 4 THEN 'clutch' WHEN 5 THEN 'Google_Maps' ELSE 'unlisted' END",
@@ -80,12 +82,17 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def customers(spark, sf_dir):
+    """Customers in many tasks: each stands for a lead, a page or a card, which are costly to read."""
+    return deal_out(table(spark, sf_dir, "customer"))
+
+
 def _exprs(view):
     return [f"{e} AS {n}" for n, e in view.items()]
 
 
 def spark_raw_leads(spark, sf_dir):
-    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    customer, nation = customers(spark, sf_dir), table(spark, sf_dir, "nation")
     return customer.join(nation, customer.c_nationkey == nation.n_nationkey).selectExpr(*_exprs(RAW_LEADS))
 
 
@@ -102,7 +109,7 @@ def spark_feedback(spark, sf_dir):
 
 
 def spark_responses(spark, sf_dir):
-    return table(spark, sf_dir, "customer").selectExpr(*_exprs(RESPONSES))
+    return customers(spark, sf_dir).selectExpr(*_exprs(RESPONSES))
 
 
 def spark_some_responses(spark, sf_dir):
@@ -111,7 +118,7 @@ def spark_some_responses(spark, sf_dir):
 
 def spark_raw_cards(spark, sf_dir):
     arrays = [f"array_compact(array({', '.join(es)})) AS {n}" for n, es in CARD_CANDIDATES.items()]
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS page_id", "0 AS card_pos", "c_mktsegment AS query", *arrays)
+    return customers(spark, sf_dir).selectExpr("c_custkey AS page_id", "0 AS card_pos", "c_mktsegment AS query", *arrays)
 
 
 def duck_raw_cards():
@@ -154,7 +161,7 @@ MAP_HTML = f"""concat('<html><body><div role="feed">', CASE WHEN c_custkey % 3 =
 
 def spark_card_pages(spark, sf_dir, html):
     """Pages ``(page_id, url, html)`` of twenty customers each, cards in key order."""
-    cards = table(spark, sf_dir, "customer").selectExpr(
+    cards = customers(spark, sf_dir).selectExpr(
         f"c_custkey div {CARDS_PER_PAGE} AS page_id", "c_custkey", f"{html} AS card"
     )
     listed = F.array_sort(F.collect_list(F.struct("c_custkey", "card")))
@@ -167,7 +174,7 @@ def spark_card_pages(spark, sf_dir, html):
 
 
 def spark_map_pages(spark, sf_dir):
-    return table(spark, sf_dir, "customer").selectExpr(
+    return customers(spark, sf_dir).selectExpr(
         "c_custkey AS page_id", "'https://maps.example.com' AS url", f"{MAP_HTML} AS html"
     )
 
