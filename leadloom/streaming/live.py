@@ -8,6 +8,7 @@ from leadloom.operators.campaign import attach_messages, eligible_leads, first_p
 from leadloom.operators.leads import clean_leads, require_name
 from leadloom.operators.sinks import append_log
 from leadloom.schemas import SENT_LOG
+from leadloom.session import deal_out
 
 # Names that a task remembers at a time.
 _NAMES_PER_TASK = 1 << 20
@@ -101,7 +102,8 @@ def best_per_address(leads, score, lowest=V.DEFAULT_MIN_GRADE):
     brings and no others. Rows of an address are combined in each task before they meet. ``score`` must be
     made of what a stream allows: expressions and fitted models, no sorting.
     """
-    eligible = eligible_leads(score(clean_leads(leads)), lowest)
+    # A micro-batch may be one file.
+    eligible = eligible_leads(score(clean_leads(deal_out(leads))), lowest)
     lead = F.struct(*eligible.columns).alias("lead")
     timed = eligible.select("email", place(eligible).alias("at"), lead, F.current_timestamp().alias("seen"))
     best = F.min_by(F.struct("lead", "seen"), "at").alias("best")
