@@ -240,7 +240,7 @@ def confirmed(members: DataFrame, percent, block=BLOCK, block_shingles=BLOCK_SHI
 def classes(docs: DataFrame, size: int) -> DataFrame:
     """``(doc_id, key, row, low, high, n_shingles, bands)`` for each document, stored."""
     schema = "doc_id long, key long, row long, low long, high long, n_shingles long, bands array<long>"
-    return stored(texts(docs).withColumn("key", row_key()).mapInArrow(_described(size), schema), "near-described")
+    return stored(texts(docs).withColumn("key", row_key()).mapInArrow(_described(size), schema), "near-described", small=True)
 
 
 def near_groups(docs: DataFrame, size=5, percent=PERCENT, block=BLOCK, block_shingles=BLOCK_SHINGLES) -> DataFrame:
@@ -268,7 +268,7 @@ def near_groups(docs: DataFrame, size=5, percent=PERCENT, block=BLOCK, block_shi
     plain = texts(docs)
     again = plain.join(ids.withColumnRenamed("doc_id", "id"), plain["doc_id"].eqNullSafe(F.col("id")), "left_semi")
     sets = again.mapInArrow(_sets(size), "low long, high long, shingles binary")
-    members = stored(sets.join(sought.select("cluster", "class", "low", "high"), ["low", "high"]).dropDuplicates(["class"]).drop("low", "high"), "near-sets")
+    members = stored(sets.join(sought.select("cluster", "class", "low", "high"), ["low", "high"]).dropDuplicates(["class"]).drop("low", "high"), "near-sets", small=True)
     linked = components(confirmed(members, percent, block, block_shingles))
     final = classed.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     final = stored(final, "near-components")

@@ -9,7 +9,7 @@ are. All arithmetic wraps at 64 bits.
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes that are worked on at once
+PIECE = 1 << 18  # bytes that are worked on at once: arrays of eight bytes for each are made of them
 _U = np.uint64
 
 

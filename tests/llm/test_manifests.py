@@ -231,3 +231,25 @@ def test_formatting_uses_expressions_only(chats):
 
 def test_no_conversations(spark):
     assert chat_format.digests(chat_format.formatted(spark.createDataFrame([], CHAT))).collect() == []
+
+
+def test_stored_tables_are_made_from_small_batches(spark):
+    """Whatever the session allows: a batch of texts lies in memory twice for each core."""
+    import pyarrow as pa
+
+    from leadloom.llm.tables import BATCH_ROWS, stored
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for bound, most in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("70", 70)):
+            spark.conf.set(name, bound)
+            found = [r.n for r in stored(spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long"), "sizes", small=True).collect()]
+            assert sum(found) == 2500 and max(found) == most
+            assert spark.conf.get(name) == bound
+    finally:
+        spark.conf.set(name, before)

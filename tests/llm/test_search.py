@@ -265,3 +265,28 @@ def test_queries_equal_brute_force(spark, small):
     same(queries.op2_near_duplicates(spark, small).collect(), near_by_hand(docs, 4))
     items = [(r["item_id"], r["text"]) for r in table(spark, small, "benchmark").collect()]
     same(queries.op10_decontamination(spark, small).collect(), hits_by_hand(docs, items))
+
+
+def test_describing_texts_takes_little_memory():
+    """Several megabytes of texts in one batch: a worker needs memory for a piece of them, not for all."""
+    import tracemalloc
+
+    import numpy as np
+
+    from leadloom.llm.quality_pu import describe
+    from leadloom.llm.spans import BETWEEN_SPACES, hashes, slices, word_ranges
+
+    text = np.frombuffer(b"some words of a text that is long enough " * 100, np.uint8)
+    data, offsets = np.tile(text, 1000), np.arange(1001) * len(text)
+    whole = hashes(data, *word_ranges(data, offsets, BETWEEN_SPACES)[:2])
+    tracemalloc.start()
+    try:
+        parts = []
+        for _, part, places in slices(data, offsets):
+            assert len(describe(part, places)) == len(places) - 1
+            parts.append(hashes(part, *word_ranges(part, places, BETWEEN_SPACES)[:2]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (np.concatenate(parts) == whole).all()
+    assert most < 40 << 20
