@@ -24,7 +24,8 @@ def rating_score(c):
     """Rating over five; comma or point decimals; anything unreadable or infinite is 0."""
     text = strip(F.replace(_col(c), F.lit(","), F.lit(".")))
     digits = F.replace(F.regexp_extract(text, _NUMBER, 0), F.lit("_"), F.lit(""))
-    number = digits.try_cast("double") / F.lit(V.RATING_SCALE)
+    # An empty text is no number either, but finding that out by an error is slow.
+    number = F.nullif(digits, F.lit("")).try_cast("double") / F.lit(V.RATING_SCALE)
     return F.coalesce(once(number, lambda n: F.when(F.abs(n) < F.lit(float("inf")), n)), F.lit(0.0))
 
 
@@ -45,27 +46,34 @@ def name_word_count(c):
 
 def category_score(name, category):
     """Keyword relevance: a step up per high-value word in the text, then a step down per
-    low-value word, kept within 0 and 1 at every step."""
-    text = F.lower(F.concat(_shown(name), F.lit(" "), _shown(category)))
+    low-value word, kept within 0 and 1 at every step.
 
-    def found(text, words):
-        return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    All steps of a kind are alike, so the score follows from the two counts of words found.
+    """
+    text = F.lower(F.concat(_shown(name), F.lit(" "), _shown(category)))
+    width = len(V.LOW_VALUE_KEYWORDS) + 1
+    scores = F.array(*[F.lit(s) for s in _category_scores()])
 
     def score(text):
-        raised = F.aggregate(
-            found(text, V.HIGH_VALUE_KEYWORDS),
-            F.lit(V.CATEGORY_START),
-            lambda s, _: F.least(F.lit(1.0), s + V.CATEGORY_HIGH_STEP),
-        )
-        return F.aggregate(
-            found(text, V.LOW_VALUE_KEYWORDS),
-            raised,
-            lambda s, _: F.greatest(F.lit(0.0), s - V.CATEGORY_LOW_STEP),
-        )
+        weights = [(w, width) for w in V.HIGH_VALUE_KEYWORDS] + [(w, 1) for w in V.LOW_VALUE_KEYWORDS]
+        place = [F.when(F.contains(text, F.lit(w)), n).otherwise(0) for w, n in weights]
+        return F.get(scores, reduce(lambda a, b: a + b, place))
 
     return once(text, score)
 
 
+def _category_scores():
+    """The score for each number of high-value words, and within these of low-value words, one after the other."""
+    scores, raised = [], V.CATEGORY_START
+    for _ in range(len(V.HIGH_VALUE_KEYWORDS) + 1):
+        score = raised
+        for _ in range(len(V.LOW_VALUE_KEYWORDS) + 1):
+            scores.append(score)
+            score = max(0.0, score - V.CATEGORY_LOW_STEP)
+        raised = min(1.0, raised + V.CATEGORY_HIGH_STEP)
+    return scores
+
+
 # Decimal digits of any script, and the other characters that count as digits: raised, lowered,
 # circled, bracketed and dotted ones and those of scripts without decimal digits. The last line has the
 # decimal digits of scripts that the pattern's own tables may be too old for.
