@@ -127,6 +127,10 @@ class Encoder:
         self.line_end = self.library("\n")
         if len(self.line_end) != 1:
             raise ValueError("a line end must be one token")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        # A byte-level token is written with one character for each of its bytes.
+        self.n_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self._reset()
 
     def _reset(self):
@@ -145,19 +149,31 @@ class Encoder:
         self.used += len(ids)
 
     def _units(self, units):
-        """(places, sizes) in the store of the ids of units; those with words go as lines of one text."""
+        """(places, sizes) in the store of the ids of units. Those with words go to the library after each other as one
+        text, where a space or a line end begins a token; the bytes of the tokens tell where each unit ends."""
         blank = np.array([unit.isspace() for unit in units], bool)
         words = np.flatnonzero(~blank)
         sizes = np.zeros(len(units), np.int64)
         found = []
         for k in range(0, len(words), 1000):
             some = words[k : k + 1000]
-            ids = np.array(self.library(b"\n".join([units[i] for i in some]).decode("utf-8", "replace")), np.uint32)
-            cuts = np.flatnonzero(ids == self.line_end[0])
-            if len(cuts) != len(some) - 1:
+            pieces = [units[i] for i in some]
+            text = b"".join([unit if unit[:1] == b" " else b"\n" + unit for unit in pieces]).decode("utf-8", "replace")
+            if "\ufffd" in text:  # stands for bytes that are no UTF-8, by others of another number
+                pieces = [unit.decode("utf-8", "replace").encode() for unit in pieces]
+            after_line_end = np.array([unit[:1] != b" " for unit in pieces])
+            ends = np.cumsum(np.array([len(unit) for unit in pieces]) + after_line_end)
+            ids = np.array(self.library(text), np.uint32)
+            reached = np.cumsum(self.n_bytes[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if cuts[-1] != len(ids) or (reached[cuts - 1] != ends).any():
+                raise ValueError("a token crosses the end of a word")
+            first = np.concatenate(([0], cuts[:-1]))
+            line_ends = first[after_line_end]
+            if (ids[line_ends] != self.line_end[0]).any():
                 raise ValueError("a line end became part of a token")
-            sizes[some] = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
-            found.append(ids[ids != self.line_end[0]])
+            sizes[some] = cuts - first - after_line_end
+            found.append(np.delete(ids, line_ends))
         for k in np.flatnonzero(blank):
             found.append(np.array(self.library(units[k].decode()), np.uint32))
             sizes[k] = len(found[-1])

@@ -118,6 +118,23 @@ def test_store_reads_back_what_the_library_gives(spark, edges, tmp_path):
     same(token_store.documents(blocks).collect(), lists)
 
 
+def test_words_go_to_the_library_without_marks_between_them(monkeypatch):
+    """Words that begin with a space follow each other; bytes that are no UTF-8 and words without a space keep their ids."""
+    rng = random.Random(5)
+    parts = ["a", "Zé", "7", "'s", "'ll", "&&", "ß", "漢字", "\x1c", "\ufffd", "\U0001f600", "|>", " ", "  ", "\n", "\t", "\r\n"]
+    some = ["".join(rng.choices(parts, k=rng.randrange(40))).encode() for _ in range(400)]
+    some += [b"x \xff\xc3 y\xe2\x82 z", b"\xc3", b" \xf0\x9f q", b" new words here", b"more new words", b""]
+    data, offsets = np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
+    code, asked = token_store.Encoder(token_store.VOCABULARY), []
+    plain = code.library
+    monkeypatch.setattr(code, "library", lambda text: asked.append(text) or plain(text))
+    for _ in range(2):  # the second time, most come from the table
+        ids, sizes = code.encode(data, offsets)
+        want = [plain(text.decode("utf-8", "replace")) for text in some]
+        assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert any(" words" in text for text in asked) and not any("\n" + word in text for text in asked for word in (" new", " words", " here"))
+
+
 def test_rows_that_share_an_id_are_dealt_out(spark, tmp_path):
     """Half of the rows have one id, half of these one text."""
     rows = [(k, f"t {k}") for k in range(2000)] + [(77, "copy")] * 1000 + [(77, f"hot {k}") for k in range(1000)]
