@@ -27,6 +27,8 @@ unknown. A NULL id is held out like the empty text. Repeated rows are learnt fro
 one by one; other columns are not read.
 """
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -152,6 +154,13 @@ class Vocabulary:
         classes = np.concatenate((np.add.reduceat(mass, self.starts[:-1]), self.tail_sums))
         self.class_share = classes / classes.sum()
 
+    @cached_property
+    def buckets(self):
+        """(shift, first): the first known word that is not below each value of the leading bits; half a word has the same."""
+        bits = (2 * len(self.words)).bit_length()
+        shift = _U(64 - bits)
+        return shift, np.searchsorted(self.words, np.arange(1 << bits, dtype=_U) << shift).astype(np.int64)
+
     def find(self, words, tails):
         """(place among the known or -1, input number) of tokens. Inputs are the shortlist, tail
         classes, and last the start of a text."""
@@ -159,7 +168,14 @@ class Vocabulary:
         if not len(self.words):
             place = np.full(len(words), -1)
         else:
-            place = np.searchsorted(self.words, words)
+            shift, first = self.buckets
+            place = first[(words >> shift).astype(np.int64)]
+            behind = np.flatnonzero(place < len(self.words))
+            behind = behind[self.words[place[behind]] < words[behind]]
+            while len(behind):
+                place[behind] += 1
+                behind = behind[place[behind] < len(self.words)]
+                behind = behind[self.words[place[behind]] < words[behind]]
             place[place == len(self.words)] = 0
             place[self.words[place] != words] = -1
         short = np.where(place >= 0, self.short[place], -1) if len(self.words) else place
@@ -295,26 +311,29 @@ class Trainer:
     def _step(self, name, gradient, rows):
         """One step for each row, by the sum of its gradients."""
         p, s = self.model.parameters[name], self.squares[name]
-        width = p.shape[1]
-        if len(p) <= BATCH:
-            changed, of = slice(None), rows
-            n = len(p)
-        else:
-            order = np.argsort(rows)
-            ranked = rows[order]
-            new = np.ones(len(ranked), bool)
-            np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-            changed, of = ranked[new], np.empty(len(rows), np.int64)
-            of[order] = np.cumsum(new) - 1
-            n = len(changed)
-        cells = (of[:, None].astype(np.int64) * width + np.arange(width)).ravel()
-        total = np.bincount(cells, gradient.ravel(), n * width).reshape(n, width).astype(np.float32)
-        square = s[changed] + total * total
+        # Sorted with their places, so that equal rows stay in order.
+        bits = len(rows).bit_length()
+        ranked = rows.astype(np.int64) << bits
+        ranked += np.arange(len(rows))
+        ranked.sort()
+        order = ranked & ((1 << bits) - 1)
+        ranked >>= bits
+        new = np.ones(len(ranked), bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+        begin = np.flatnonzero(new)
+        changed, counts = np.take(ranked, begin), np.diff(begin, append=len(ranked))
+        total, many = np.take(gradient, np.take(order, begin), axis=0), counts > 1
+        if many.any():  # only rows that occur again are summed, in double precision
+            again = np.take(gradient, order[np.repeat(many, counts)], axis=0).astype(np.float64)
+            counts = counts[many]
+            total[many] = np.add.reduceat(again, np.cumsum(counts) - counts, axis=0)
+        square = total * total
+        square += np.take(s, changed, axis=0)
         s[changed] = square
         np.sqrt(square, out=square)
         total /= square
         total *= RATE
-        p[changed] -= total
+        p[changed] = np.take(p, changed, axis=0) - total
 
     def _contrast(self, q, target, name):
         """Scores targets and shared noise; steps the outputs and returns the slope of q."""

@@ -4,6 +4,7 @@ import collections
 import math
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -420,3 +421,32 @@ def test_pipeline_stages_keep_columns_and_take_edge_cases(spark, edges, nothing,
             out = stage(spark, docs, small)
             assert out.columns == docs.columns and out.count() <= docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, nothing, small).collect() == []
+
+
+def test_words_are_found_by_their_leading_bits_and_steps_sum_equal_rows():
+    rng = np.random.default_rng(3)
+    low, high = np.uint64(5), np.uint64(2**64 - 3)
+    words = np.unique(np.concatenate((rng.integers(0, 2**64, 1000, np.uint64), [low, high], np.arange(2**40, 2**40 + 20, dtype=np.uint64))))
+    vocabulary = lm_scoring.Vocabulary.__new__(lm_scoring.Vocabulary)
+    vocabulary.words, vocabulary.word_share = words, np.ones(1)
+    vocabulary.short = np.full(len(words), -1, np.int32)
+    shift, first = vocabulary.buckets
+    assert len(first) >= 2 * len(words) and len(first) << int(shift) == 1 << 64
+    asked = np.concatenate((words, words - np.uint64(1), words + np.uint64(1), rng.integers(0, 2**64, 500, np.uint64), np.array([0, 2**64 - 1], np.uint64)))
+    places = {word: k for k, word in enumerate(words.tolist())}
+    found, _ = vocabulary.find(asked, np.zeros(len(asked), np.int16))
+    assert found.tolist() == [places.get(word, -1) for word in asked.tolist()]
+
+    trainer = lm_scoring.Trainer.__new__(lm_scoring.Trainer)
+    start = rng.standard_normal((5000, 3)).astype(np.float32)
+    for rows in (np.array([7, 4999, 7, 0, 7, 0]), np.array([3, 2, 1]), rng.integers(0, 50, 3000)):
+        trainer.model = SimpleNamespace(parameters={"words": start.copy()})
+        trainer.squares = {"words": np.full(start.shape, 0.5, np.float32)}
+        gradient = rng.standard_normal((len(rows), 3)).astype(np.float32)
+        trainer._step("words", gradient, rows)
+        total = np.zeros(start.shape)
+        np.add.at(total, rows, gradient.astype(np.float64))
+        total = total.astype(np.float32)
+        square = np.float32(0.5) + total * total
+        assert (trainer.squares["words"] == square).all()
+        assert (trainer.model.parameters["words"] == start - total / np.sqrt(square) * np.float32(lm_scoring.RATE)).all()
