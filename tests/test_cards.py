@@ -1,5 +1,7 @@
 """Cards of harvested pages."""
 
+import random
+
 import pytest
 
 from leadloom import fixed_values as V
@@ -81,3 +83,32 @@ def test_selectors(selector, hits):
     page = Page('<ul><li class="a"><p class="a  b" x="Yes no">t</p></li></ul>')
     steps = compile_selector(selector)
     assert [e for e in range(len(page.tags)) if page.matches(e, steps)] == hits
+
+
+def read_by(page):
+    return page.tags, page.attrs, page.parents, page.ends, page.spans, page.texts
+
+
+def test_plain_markup_is_read_as_by_the_parser(monkeypatch):
+    rng = random.Random(11)
+    plain = [
+        "<div>", "</div>", "<p>", "</p>", "<br>", '<a href="/x?a=1&amp;b=2" class=" big  card ">', "</a>", "<template>", "</template>", "</em>",
+        "A &amp; B", "x > y", "&", "&lt", "&#66; ", "\n", '<i title="" id="&#38;lt;">', "<!-- <b>no</b> -->", "<!---x-->", '<u id="1" id="2">', "é",
+    ]
+    odd = [
+        "<", "< p>", "<P>", "<img src=x>", "<br/>", "</p >", "</ p>", "<script>", "</script>", "<title>", "</title>", "<!-->", "<!-- a -- b -->", "<!DOCTYPE html>",
+        "<?x?>", "<![CDATA[x]]>", "<a b>", "<a b='1'>", '<a b="&copy;&ampx">', '<a b="<">', '<a b="1"c="2">', "<!--", '<a b="', "</", "&am", "<a\x00>", "<x-y>", "<a:b>",
+    ]
+    pages = ["".join(rng.choices(plain, k=rng.randrange(30))) for _ in range(500)]
+    mixed = ["".join(rng.choices(plain * 4 + odd, k=rng.randrange(12))) for _ in range(3000)] + odd + [a + b for a in plain for b in odd]
+    found = [read_by(Page(html)) for html in pages + mixed]
+    with monkeypatch.context() as patch:
+        patch.setattr(Page, "_read_plain", lambda self, html: False)
+        assert found == [read_by(Page(html)) for html in pages + mixed]
+    monkeypatch.setattr(Page, "feed", lambda self, html: pytest.fail(f"{html} needs no parser"))
+    assert [read_by(Page(html)) for html in pages] == found[: len(pages)]
+
+
+def test_unclosed_markup_is_given_up_at_once():
+    for html in ("<!--" + "a" * 200_000, '<a b="' + "&amp;" * 50_000, "<a" + ' b="1"' * 50_000, "<!-- -" * 50_000):
+        assert not Page("")._read_plain(html)
